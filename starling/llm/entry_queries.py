@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from starling.llm import url_filters
+from starling.llm import quality_rules, url_filters
 
 
 def queries() -> dict:
     return {
+        "op5_quality_rules": quality_rules.op5_quality_rules,
         "op7_url_filters": url_filters.op7_url_filters,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_quality_rules": quality_rules.OP5_SQL,
         "op7_url_filters": url_filters.OP7_SQL,
     }
