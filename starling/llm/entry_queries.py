@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from starling.llm import piece_bpe, quality_rules, url_filters
+from starling.llm import piece_bpe, quality_classifier, quality_rules, url_filters
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op5_quality_rules": quality_rules.op5_quality_rules,
         "op7_url_filters": url_filters.op7_url_filters,
         "op8_piece_bpe": piece_bpe.op8_piece_bpe,
+        "op9_quality_classifier": quality_classifier.op9_quality_classifier,
     }
 
 
