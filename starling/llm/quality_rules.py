@@ -11,7 +11,9 @@ so a guard applies: each limit is widened by ``slack / sqrt(count)``, and below
 ``min_chars`` characters or ``min_words`` words the histogram isn't judged.  A
 document without a known language is held against the nearest reference.
 
-One pass over the texts takes the counts; they are written to the shared folder
+Repeated windows are found by 64-bit hashes of eight words, made by doubling
+(one, two, four, eight words) and sorted within the document, so a long text
+costs n log n.  One pass over the texts takes the counts; they are written to the shared folder
 as a narrow table.  References come from a sum over that table and are at most
 one row for each language of ``COMMON_WORDS``, so they can stand as literals in
 the second pass, which reads the narrow table alone.
@@ -42,7 +44,7 @@ VOCABULARY = sorted({w for ws in COMMON_WORDS.values() for w in ws})
 #: Character classes in the order in which they are taken out; what is left over is the last class.
 CLASSES = [("lower", "[a-z]+"), ("upper", "[A-Z]+"), ("digit", "[0-9]+"), ("symbol", "[#*$%&|<>]+"), ("stop", "[.,;:!?]+"), ("punct", r"[\x00-\x7F]+")]
 N_CLASSES = len(CLASSES) + 1
-REPEAT_WINDOW = 8
+REPEAT_WINDOW = 8  # a power of two
 
 #: Limits of the Jensen-Shannon distances, and what a short text may have on top.
 CHAR_LIMIT, CHAR_SLACK = 0.16, 2.0
@@ -56,15 +58,22 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     d = d.withColumn("_text", F.coalesce("_text", F.lit("")))
     d = d.select("_id", "_lang", F.array_remove(F.split("_text", WS_CLASS), "").alias("words"), F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
     n = F.size("words")
-    grams = F.when(n >= REPEAT_WINDOW, F.transform(F.sequence(F.lit(1), n - REPEAT_WINDOW + 1), lambda i: F.xxhash64(F.slice("words", i, REPEAT_WINDOW))))
     known = [x for w in VOCABULARY for x in (w, w[0].upper() + w[1:])]
     d = d.select(
         "_id", "_lang", n.cast("long").alias("n_words"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.array_join("words", "").alias("t0"),
-        grams.alias("grams"),
-        F.transform(F.filter("words", lambda w: w.isin(known)), F.lower).alias("hit"),
+        F.when(n >= REPEAT_WINDOW, F.transform("words", lambda w: F.xxhash64(w))).alias("g1"),
+        F.lower(F.concat(F.lit(" "), F.array_join(F.filter("words", lambda w: w.isin(known)), "  "), F.lit(" "))).alias("hit"),
     )
+    size = 1
+    while size < REPEAT_WINDOW:  # the hash of 2, 4, 8 words from the hashes of the two halves
+        whole, half = F.col(f"g{size}"), f"g{size}"
+        if 2 * size == REPEAT_WINDOW:
+            whole = F.slice(whole, F.lit(1), F.size(whole) - (REPEAT_WINDOW - 1))
+        d = d.withColumn(f"g{2 * size}", F.transform(whole, lambda x, i: F.xxhash64(x, F.get(half, i + size))))  # noqa: B023
+        size *= 2
+    d = d.withColumnRenamed(f"g{size}", "grams")
     repeats = F.size(F.array_distinct("grams")) < F.size("grams")
     d = d.withColumn("sorted", F.when(repeats, F.sort_array(F.transform("grams", lambda g, i: F.struct(g.alias("g"), i.alias("i"))))))
     same = lambda x, i, j: F.coalesce((F.get("sorted", j)["g"] == x["g"]) & (j >= 0), F.lit(False))
@@ -76,11 +85,12 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         d = d.withColumn(f"t{k + 1}", F.regexp_replace(f"t{k}", rx, ""))
         counts[name] = F.char_length(f"t{k}") - F.char_length(f"t{k + 1}")
     d = d.withColumns({k: v for k, v in counts.items()})
-    hits = [F.size("hit") - F.size(F.array_remove("hit", w)) for w in VOCABULARY]
+    hits = [((F.char_length("hit") - F.char_length(F.replace("hit", F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("int") for w in VOCABULARY]
+    d = d.withColumn("listed", F.array(*hits))
     return d.select(
         "_id", "_lang", "n_words", F.char_length("t0").cast("long").alias("word_chars"), F.col("symbol").cast("long").alias("n_symbols"), "n_dup_lines", "n_repeat_words",
         F.array(*[F.col(c[0]).cast("int") for c in CLASSES], F.char_length(f"t{len(CLASSES)}")).alias("chars"),
-        F.array(*hits, F.col("n_words").cast("int") - F.size("hit")).alias("hits"),
+        F.concat("listed", F.array(F.col("n_words").cast("int") - F.aggregate("listed", F.lit(0), lambda a, x: a + x))).alias("hits"),
     )
 
 
