@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from starling.llm import language_id, piece_bpe, quality_classifier, quality_rules, url_filters
+from starling.llm import language_id, packing, piece_bpe, quality_classifier, quality_rules, url_filters
 
 
 def queries() -> dict:
     return {
         "op2_language_id": language_id.op2_language_id,
+        "op3_packing": packing.op3_packing,
         "op5_quality_rules": quality_rules.op5_quality_rules,
         "op7_url_filters": url_filters.op7_url_filters,
         "op8_piece_bpe": piece_bpe.op8_piece_bpe,
