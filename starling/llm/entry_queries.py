@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from starling.llm import language_id, packing, piece_bpe, quality_classifier, quality_rules, url_filters
+from starling.llm import language_id, packing, piece_bpe, quality_classifier, quality_rules, url_filters, warc_zip
 
 
 def queries() -> dict:
     return {
         "op2_language_id": language_id.op2_language_id,
         "op3_packing": packing.op3_packing,
+        "op4_warc_zip": warc_zip.op4_warc_zip,
         "op5_quality_rules": quality_rules.op5_quality_rules,
         "op7_url_filters": url_filters.op7_url_filters,
         "op8_piece_bpe": piece_bpe.op8_piece_bpe,
@@ -18,6 +19,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_warc_zip": warc_zip.OP4_SQL,
         "op5_quality_rules": quality_rules.OP5_SQL,
         "op7_url_filters": url_filters.OP7_SQL,
     }
