@@ -22,6 +22,7 @@ rows.  Whole texts are encoded, whatever their length.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from starling.llm.common import pick, prepare
 
 SPACE = "▁"
-MEMORY = 300_000
+MEMORY = 500_000
 BATCH_CHARS = 4_000_000
 
 
@@ -44,7 +45,7 @@ class PieceModel:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.memory, self.parts, self.pairs = memory, {}, {}
+        self.memory, self.parts, self.odd, self.tested = memory, {}, set(), 0
         self.pieces: dict[str, int] = {}
         self.score: dict[str, float] = {}
         self.text: list[bytes] = []  # what an id decodes to, before runs of bytes are joined
@@ -66,10 +67,12 @@ class PieceModel:
         self.neighbours = {a + b for p in self.pieces for a, b in zip(p, p[1:])}
         self.spaced = not any(x[1] == SPACE and x[0] != SPACE for x in self.neighbours)
         self.lined = not any("\n" in x for x in self.neighbours)
+        self.follow: dict[int, dict[int, bool]] = {}
         self.automaton = ahocorasick.Automaton()
         for p, i in self.pieces.items():
             if len(p) == 1 or self.merged(p) == [p]:  # a token that merges never reach ends no prefix
                 self.automaton.add_word(p, (i, len(p)))
+                self.follow[i] = {}
         self.automaton.make_automaton()
 
     def merged(self, text: str) -> list[str]:
@@ -87,49 +90,70 @@ class PieceModel:
         return parts
 
     def compatible(self, a: int, b: int) -> bool:
-        key = a << 20 | b
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= 4 * self.memory:
-                self.pairs.clear()
-            x, y = self.names[a], self.names[b]
-            known = self.pairs[key] = self.merged(x + y) == [x, y]
+        """Whether b may follow a: the pair encoded alone stays that pair.  Kept in ``follow[a]``."""
+        if self.tested >= 4 * self.memory:
+            for d in self.follow.values():
+                d.clear()
+            self.tested = 0
+        x, y = self.names[a], self.names[b]
+        known = self.follow[a][b] = self.merged(x + y) == [x, y]
+        self.tested += 1
         return known
 
-    def encode_run(self, run: str) -> list[int]:
-        """Ids of a run without a place that no token spans."""
-        whole = self.pieces.get(run)
-        if len(run) == 1:
-            return [whole] if whole is not None else [self.bytes[x] for x in run.encode()]
-        last: list[tuple[int, int] | None] = [None] * (len(run) + 1)
-        for end, (i, n) in self.automaton.iter(run):
-            start = end + 1 - n
-            if start == 0 or (last[start] is not None and self.compatible(last[start][0], i)):
-                last[end + 1] = (i, n)
-        ids, at = [], len(run)
+    def encode_run(self, run: str) -> list[int] | None:
+        """Ids by the prefix table; None if some character is no token by itself."""
+        n = len(run)
+        last, sizes, after = [-1] * (n + 1), [0] * (n + 1), [None] * (n + 1)
+        follow = self.follow
+        for end, (i, size) in self.automaton.iter(run):  # the longest first at each end
+            end += 1
+            if last[end] >= 0:  # only one token can end a prefix
+                continue
+            start = end - size
+            if start:
+                d = after[start]
+                if d is None:
+                    continue
+                known = d.get(i)
+                if known is None:
+                    known = self.compatible(last[start], i)
+                if not known:
+                    continue
+            last[end], sizes[end], after[end] = i, size, follow[i]
+        ids, at = [], n
         while at:
-            if last[at] is None:  # characters that are tokens only inside others
-                return [x for p in self.merged(run) for x in ([self.pieces[p]] if p in self.pieces else [self.bytes[c] for c in p.encode()])]
-            ids.append(last[at][0])
-            at -= last[at][1]
+            if last[at] < 0:
+                return None
+            ids.append(last[at])
+            at -= sizes[at]
         return ids[::-1]
 
     def encode_part(self, part: str) -> list[int]:
-        ids, begin = [], 0
-        for k in range(1, len(part)):
-            if part[k - 1 : k + 1] not in self.neighbours:
-                ids += self.encode_run(part[begin:k])
+        ids = self.encode_run(part)
+        if ids is not None:
+            return ids
+        ids, begin = [], 0  # again between the places that no token spans, where unknown characters stand alone
+        for k in range(1, len(part) + 1):
+            if k == len(part) or part[k - 1 : k + 1] not in self.neighbours:
+                run = part[begin:k]
+                got = self.encode_run(run)
+                if got is None:
+                    got = [x for p in self.merged(run) for x in ([self.pieces[p]] if p in self.pieces else [self.bytes[c] for c in p.encode()])]
+                ids += got
                 begin = k
-        return ids + self.encode_run(part[begin:]) if part else ids
+        return ids
 
-    def part(self, part: str) -> tuple[bytes, bytes]:
-        """Ids as packed int32 and decoded bytes of a part, remembered."""
+    def part(self, part: str) -> bytes:
+        """Ids of a part as packed int32, remembered; ``odd`` has the parts whose ids decode to another text."""
         got = self.parts.get(part)
         if got is None:
             if len(self.parts) >= self.memory:
                 self.parts.clear()
+                self.odd.clear()
             ids = self.encode_part(part)
-            got = self.parts[part] = (np.array(ids, dtype=np.int32).tobytes(), self.join(ids))
+            if self.join(ids) != part.replace(SPACE, " ").encode():
+                self.odd.add(part)
+            got = self.parts[part] = array("i", ids).tobytes()
         return got
 
     def join(self, ids) -> bytes:
@@ -149,9 +173,11 @@ class PieceModel:
     def encode(self, text: str) -> tuple[bytes, bytes]:
         """Packed int32 ids and decoded UTF-8 of a whole text."""
         get, part = self.parts.get, self.part
-        both = [get(p) or part(p) for p in self.split(text)]
-        ids = b"".join([x[0] for x in both])
-        return ids, self.finish(b"".join([x[1] for x in both]))
+        parts = self.split(text)
+        packed = b"".join([get(p) or part(p) for p in parts])
+        if self.odd and not self.odd.isdisjoint(parts):
+            return packed, self.decode(np.frombuffer(packed, np.int32).tolist()).encode()
+        return packed, text.replace(SPACE, " ").encode()  # each part's ids were seen to decode to it
 
     def decode(self, ids) -> str:
         first = next((x for x in (self.names.get(i, self.text[i]) for i in ids) if x), "")
