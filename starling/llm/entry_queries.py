@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from starling.llm import language_id, packing, piece_bpe, quality_classifier, quality_rules, url_filters, warc_zip
+from starling.llm import language_id, packing, piece_bpe, quality_classifier, quality_rules, substring_dedup, url_filters, warc_zip
 
 
 def queries() -> dict:
     return {
+        "op1_substring_dedup": substring_dedup.op1_substring_dedup,
         "op2_language_id": language_id.op2_language_id,
         "op3_packing": packing.op3_packing,
         "op4_warc_zip": warc_zip.op4_warc_zip,
@@ -19,6 +20,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_substring_dedup": substring_dedup.OP1_SQL,
         "op4_warc_zip": warc_zip.OP4_SQL,
         "op5_quality_rules": quality_rules.OP5_SQL,
         "op7_url_filters": url_filters.OP7_SQL,
