@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from starling.llm import language_id, packing, piece_bpe, quality_classifier, quality_rules, substring_dedup, url_filters, warc_zip
+from starling.llm import embedding_dedup, language_id, packing, piece_bpe, quality_classifier, quality_rules, substring_dedup, url_filters, warc_zip
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_packing": packing.op3_packing,
         "op4_warc_zip": warc_zip.op4_warc_zip,
         "op5_quality_rules": quality_rules.op5_quality_rules,
+        "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
         "op7_url_filters": url_filters.op7_url_filters,
         "op8_piece_bpe": piece_bpe.op8_piece_bpe,
         "op9_quality_classifier": quality_classifier.op9_quality_classifier,
