@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from starling.llm import embedding_dedup, language_id, packing, piece_bpe, quality_classifier, quality_rules, substring_dedup, url_filters, warc_zip
+from starling.llm import embedding_dedup, language_id, minhash_forest, packing, piece_bpe, quality_classifier, quality_rules, substring_dedup, url_filters, warc_zip
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_url_filters": url_filters.op7_url_filters,
         "op8_piece_bpe": piece_bpe.op8_piece_bpe,
         "op9_quality_classifier": quality_classifier.op9_quality_classifier,
+        "op10_minhash_forest": minhash_forest.op10_minhash_forest,
     }
 
 
