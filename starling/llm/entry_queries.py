@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from starling.llm import embedding_dedup, language_id, minhash_forest, packing, piece_bpe, quality_classifier, quality_rules, substring_dedup, url_filters, warc_zip
 
 
@@ -17,6 +18,7 @@ def queries() -> dict:
         "op8_piece_bpe": piece_bpe.op8_piece_bpe,
         "op9_quality_classifier": quality_classifier.op9_quality_classifier,
         "op10_minhash_forest": minhash_forest.op10_minhash_forest,
+        "pipeline": corpus_pipeline.run,
     }
 
 

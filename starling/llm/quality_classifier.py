@@ -183,6 +183,21 @@ def score_documents(docs: DataFrame, net: ByteNet, id_col: str = "doc_id", text_
     return d.mapInArrow(run, f"_id {kind}, score double").withColumnRenamed("_id", id_col)
 
 
+def keep_good(docs: DataFrame, net: ByteNet, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with a score of ``threshold`` or more, with all their columns."""
+    prepare(docs.sparkSession)
+    flat = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
+    at = docs.columns.index(text_col)
+    binary = flat.withColumn("_t", F.coalesce(F.col(f"_c{at}"), F.lit("")).cast("binary"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = net.scores(b.column(len(b.columns) - 1).to_pylist()) >= threshold
+            yield b.select(b.schema.names[:-1]).filter(pa.array(good))
+
+    return binary.mapInArrow(run, flat.schema).toDF(*docs.columns)
+
+
 def op9_quality_classifier(spark, sf_dir: str) -> DataFrame:
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     net = train(docs, labels, usable=lambda c: fold(c, 4) != 2)

@@ -52,9 +52,13 @@ WORD_LIMIT, WORD_SLACK = 0.15, 1.5
 MIN_CHARS, MIN_WORDS = 200, 40
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``_id``, ``_lang``, the base counts, ``chars`` and ``hits``: one histogram each."""
-    d = pick(docs, _id=id_col, _text=text_col, _lang=lang_col)
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", whole_rows: bool = False) -> DataFrame:
+    """``_id``, ``_lang``, the base counts, ``chars`` and ``hits``: one histogram each.  With ``whole_rows`` ``_id`` is the whole row."""
+    if whole_rows:
+        flat = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
+        d = flat.select(F.struct(*flat.columns).alias("_id"), F.col(f"_c{docs.columns.index(text_col)}").alias("_text"), F.col(f"_c{docs.columns.index(lang_col)}").alias("_lang"))
+    else:
+        d = pick(docs, _id=id_col, _text=text_col, _lang=lang_col)
     d = d.withColumn("_text", F.coalesce("_text", F.lit("")))
     d = d.select("_id", "_lang", F.array_remove(F.split("_text", WS_CLASS), "").alias("words"), F.filter(F.split("_text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
     n = F.size("words")
@@ -126,19 +130,37 @@ def nearest(by_lang: dict[str, Column]) -> Column:
     return F.coalesce(own, F.least(*by_lang.values()) if len(by_lang) > 1 else next(iter(by_lang.values())))
 
 
-def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT) -> DataFrame:
-    """The contract's columns and the two distances (null where a guard applies)."""
-    counts = settle(features(docs, id_col, text_col, lang_col), "quality-counts")
-    refs = references(counts)
+def _verdict(counts: DataFrame, refs: dict, char_limit: float, word_limit: float) -> DataFrame:
+    """``counts`` with ``base_failed``, ``char_distance``, ``word_distance`` and ``kept``."""
     char = word = F.lit(None).cast("double")
     if refs:
         char = F.when((F.col("n_words") >= MIN_WORDS) & (F.col("word_chars") >= MIN_CHARS), nearest({k: js_distance("chars", "word_chars", v[0]) for k, v in refs.items()}))
         word = F.when(F.col("n_words") >= MIN_WORDS, nearest({k: js_distance("hits", "n_words", v[1]) for k, v in refs.items()}))
-    d = counts.select(F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), char.alias("char_distance"), word.alias("word_distance"))
+    d = counts.withColumns({"base_failed": base_failed(), "char_distance": char, "word_distance": word})
     ok = F.coalesce(F.col("char_distance") <= char_limit + CHAR_SLACK / F.sqrt("word_chars"), F.lit(True)) & F.coalesce(F.col("word_distance") <= word_limit + WORD_SLACK / F.sqrt("n_words"), F.lit(True))
     return d.withColumn("kept", ~F.col("base_failed") & ok)
 
 
+def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT) -> DataFrame:
+    """The contract's columns and the two distances (null where a guard applies)."""
+    counts = settle(features(docs, id_col, text_col, lang_col), "quality-counts")
+    d = _verdict(counts, references(counts), char_limit, word_limit)
+    return d.select(F.col("_id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept")
+
+
+def keep_good(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", char_limit: float = CHAR_LIMIT, word_limit: float = WORD_LIMIT) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns.
+
+    The counts are taken a second time beside the rows, which costs less than a
+    shuffle of all texts to join verdicts back, and needs no ids.
+    """
+    refs = references(settle(features(docs, text_col, text_col, lang_col).drop("_id"), "quality-counts"))
+    d = _verdict(features(docs, text_col=text_col, lang_col=lang_col, whole_rows=True), refs, char_limit, word_limit)
+    # the row number keeps the filter above the features; pushed below, each use of a count would be worked out anew
+    d = d.select("_id", "kept", F.monotonically_increasing_id().alias("_row")).where("kept and _row >= 0")
+    return d.select("_id.*").toDF(*docs.columns)
+
+
 def op5_quality_rules(spark, sf_dir: str) -> DataFrame:
     out = judge_quality(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

@@ -146,14 +146,14 @@ def _texts(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[Texts]:
         yield Texts(rows, window)
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``_id``; ``i`` and ``h``, which together name a text of an id; ``t``, the text's bytes."""
-    d = pick(docs, _id=id_col, _text=text_col).withColumn("_text", F.coalesce("_text", F.lit("")))
+def _keyed(docs: DataFrame, id_col: str, text_col: str, others: tuple[str, ...] = ()) -> DataFrame:
+    """``_id``; ``i`` and ``h``, which together name a text of an id; ``t``, the text's bytes; ``o0``, ``o1`` ...: ``others``."""
+    d = pick(docs, _id=id_col, _text=text_col, **{f"o{k}": c for k, c in enumerate(others)}).withColumn("_text", F.coalesce("_text", F.lit("")))
     if d.schema["_id"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint"):
         number = F.coalesce(F.col("_id").cast("long"), F.lit(NO_ID))
     else:
         number = F.xxhash64(F.col("_id").cast("string"))
-    return d.select("_id", number.alias("i"), F.xxhash64("_text").alias("h"), F.col("_text").cast("binary").alias("t"))
+    return d.select("_id", number.alias("i"), F.xxhash64("_text").alias("h"), F.col("_text").cast("binary").alias("t"), *[f"o{k}" for k in range(len(others))])
 
 
 def hot_minimisers(keyed: DataFrame, window: int) -> set[int]:
@@ -376,27 +376,33 @@ def _span_rows(x: np.ndarray) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x["id"]), pa.array(x["hash"]), pa.array(x["begin"].astype(np.int32)), pa.array(x["end"].astype(np.int32))], names=["i", "h", "begin", "end"])
 
 
-def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, n_words, n_removed, kept``: what is left of each text, its words joined by one space."""
+def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", text_col: str = "text", others: tuple[str, ...] = (), keep_layout: bool = False) -> DataFrame:
+    """``id_col, n_words, n_removed, kept`` and the columns ``others``.
+
+    ``kept`` is what is left of each text, its words joined by one space; with
+    ``keep_layout`` a text that loses nothing stays as it is.
+    """
     if window < MER:
         raise ValueError(f"a window has {MER} words at least")
     prepare(docs.sparkSession)
-    keyed = _keyed(docs, id_col, text_col)
+    keyed = _keyed(docs, id_col, text_col, others)
     spans = repeated_spans(keyed, window).groupBy("i", "h").agg(F.collect_set(F.struct("begin", "end")).alias("spans"))
-    kind = keyed.schema["_id"].dataType.simpleString()
+    kinds = {c: keyed.schema[c].dataType.simpleString() for c in ["_id", *[f"o{k}" for k in range(len(others))]]}
+    carried = ", ".join(f"{c} {kind}" for c, kind in kinds.items())
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zip_ = zstandard.ZstdCompressor(level=1)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([zip_.compress(t.as_buffer().to_pybytes()) for t in b.column(3)], pa.binary())], names=["_id", "i", "h", "z"])
+            z = pa.array([zip_.compress(t.as_buffer().to_pybytes()) for t in b.column("t")], pa.binary())
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kinds], b.column("i"), b.column("h"), z], names=[*kinds, "i", "h", "z"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unzip = zstandard.ZstdDecompressor()
         for b in batches:
             n_words, n_removed, kept = [], [], []
-            begins, ends = b.column(2), b.column(3)
-            for z, x, y in zip(b.column(1), begins.to_pylist(), ends.to_pylist()):
-                words = unzip.decompress(z.as_buffer().to_pybytes()).split()
+            for z, x, y in zip(b.column("z"), b.column("begins").to_pylist(), b.column("ends").to_pylist()):
+                raw = unzip.decompress(z.as_buffer().to_pybytes())
+                words = raw.split()
                 n = len(words)
                 if x:
                     step = np.zeros(n + 1, np.int32)
@@ -406,12 +412,13 @@ def remove_repeats(docs: DataFrame, window: int = 35, id_col: str = "doc_id", te
                     words = [words[k] for k in stay]
                 n_words.append(n)
                 n_removed.append(n - len(words))
-                kept.append(b" ".join(words))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["_id", "n_words", "n_removed", "kept"])
+                kept.append(raw if keep_layout and n == len(words) else b" ".join(words))
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in kinds], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=[*kinds, "n_words", "n_removed", "kept"])
 
-    small = keyed.mapInArrow(shrink, f"_id {kind}, i long, h long, z binary")
-    joined = small.join(spans, ["i", "h"], "left").select("_id", "z", F.col("spans.begin").alias("begins"), F.col("spans.end").alias("ends"))
-    return joined.mapInArrow(cut, f"_id {kind}, n_words long, n_removed long, kept string").withColumnRenamed("_id", id_col)
+    small = keyed.mapInArrow(shrink, f"{carried}, i long, h long, z binary")
+    joined = small.join(spans, ["i", "h"], "left").select(*kinds, "z", F.col("spans.begin").alias("begins"), F.col("spans.end").alias("ends"))
+    out = joined.mapInArrow(cut, f"{carried}, n_words long, n_removed long, kept string")
+    return out.select(F.col("_id").alias(id_col), "n_words", "n_removed", "kept", *[F.col(f"o{k}").alias(c) for k, c in enumerate(others)])
 
 
 def op1_substring_dedup(spark, sf_dir: str) -> DataFrame:
