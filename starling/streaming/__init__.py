@@ -1,0 +1 @@
+"""Nothing streams here: learning is transductive, each fit sees its whole graph."""
