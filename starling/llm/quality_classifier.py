@@ -33,7 +33,7 @@ from starling.llm.common import fold, pick, prepare
 
 DIM, WIDTH, STEP, FILTERS, CHUNK = 8, 8, 4, 24, 2048
 PAD = 256
-BATCH_BYTES = 1 << 20
+BATCH_BYTES, ROWS = 1 << 18, 512
 THRESHOLD = 0.7
 
 
@@ -169,16 +169,23 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return ByteNet(seed).fit([bytes(r[1]) for r in rows], y, weights)
 
 
+def _scored(net: ByteNet, b: pa.RecordBatch, at: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+    """Slices of a batch with the scores of the texts in column ``at``; a few rows at a time bound the memory."""
+    for k in range(0, len(b), ROWS):
+        part = b.slice(k, ROWS)
+        yield part, net.scores([t or b"" for t in part.column(at).cast(pa.binary()).to_pylist()])
+
+
 def score_documents(docs: DataFrame, net: ByteNet, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col`` and ``score`` of each row of ``docs``."""
     prepare(docs.sparkSession)
-    d = pick(docs, _id=id_col, _text=text_col).select("_id", F.coalesce(F.col("_text"), F.lit("")).cast("binary").alias("t"))
+    d = pick(docs, _id=id_col, _text=text_col)
     kind = d.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = b.column(1).to_pylist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(net.scores(texts), pa.float64())], names=["_id", "score"])
+            for part, scores in _scored(net, b, 1):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64())], names=["_id", "score"])
 
     return d.mapInArrow(run, f"_id {kind}, score double").withColumnRenamed("_id", id_col)
 
@@ -188,14 +195,13 @@ def keep_good(docs: DataFrame, net: ByteNet, threshold: float = 0.5, text_col: s
     prepare(docs.sparkSession)
     flat = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
     at = docs.columns.index(text_col)
-    binary = flat.withColumn("_t", F.coalesce(F.col(f"_c{at}"), F.lit("")).cast("binary"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            good = net.scores(b.column(len(b.columns) - 1).to_pylist()) >= threshold
-            yield b.select(b.schema.names[:-1]).filter(pa.array(good))
+            for part, scores in _scored(net, b, at):
+                yield part.filter(pa.array(scores >= threshold))
 
-    return binary.mapInArrow(run, flat.schema).toDF(*docs.columns)
+    return flat.mapInArrow(run, flat.schema).toDF(*docs.columns)
 
 
 def op9_quality_classifier(spark, sf_dir: str) -> DataFrame:

@@ -89,8 +89,9 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
         d = d.withColumn(f"t{k + 1}", F.regexp_replace(f"t{k}", rx, ""))
         counts[name] = F.char_length(f"t{k}") - F.char_length(f"t{k + 1}")
     d = d.withColumns({k: v for k, v in counts.items()})
-    hits = [((F.char_length("hit") - F.char_length(F.replace("hit", F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("int") for w in VOCABULARY]
-    d = d.withColumn("listed", F.array(*hits))
+    # a lambda over the list, not one expression a word, which would make code too large to compile well
+    spaced = F.array(*[F.lit(f" {w} ") for w in VOCABULARY])
+    d = d.withColumn("listed", F.transform(spaced, lambda w: ((F.char_length("hit") - F.char_length(F.replace("hit", w, F.lit("")))) / F.char_length(w)).cast("int")))
     return d.select(
         "_id", "_lang", "n_words", F.char_length("t0").cast("long").alias("word_chars"), F.col("symbol").cast("long").alias("n_symbols"), "n_dup_lines", "n_repeat_words",
         F.array(*[F.col(c[0]).cast("int") for c in CLASSES], F.char_length(f"t{len(CLASSES)}")).alias("chars"),
