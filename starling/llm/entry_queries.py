@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from starling.llm import embedding_dedup, language_id, minhash_forest, packing, piece_bpe, quality_classifier, quality_rules, substring_dedup, url_filters, warc_zip
+from starling.llm import embedding_dedup, language_id, minhash_forest, oracles, packing, piece_bpe, quality_classifier, quality_rules, substring_dedup, url_filters, warc_zip
 
 
 def queries() -> dict:
@@ -27,5 +27,7 @@ def oracle_sql() -> dict[str, str]:
         "op1_substring_dedup": substring_dedup.OP1_SQL,
         "op4_warc_zip": warc_zip.OP4_SQL,
         "op5_quality_rules": quality_rules.OP5_SQL,
+        "op6_embedding_dedup": oracles.OP6_SQL,
         "op7_url_filters": url_filters.OP7_SQL,
+        "op10_minhash_forest": oracles.OP10_SQL,
     }
