@@ -59,13 +59,20 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/starling-{tag}-{uuid.uuid4().hex}"
 
 
-def settle(df: DataFrame, tag: str) -> DataFrame:
+ROWS_A_FILE = 100_000
+
+
+def settle(df: DataFrame, tag: str, at_most: int | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the files.
 
     This cuts the lineage at a place that survives a lost executor, and keeps a
-    costly step from running again for each of its consumers.
+    costly step from running again for each of its consumers.  ``at_most``, a bound
+    of the rows, keeps small tables from becoming thousands of tiny files: one
+    for every ROWS_A_FILE rows.
     """
     spark = df.sparkSession
+    if at_most is not None:
+        df = df.coalesce(1 + at_most // ROWS_A_FILE)
     path = new_path(spark, tag)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

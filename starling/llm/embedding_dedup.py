@@ -229,11 +229,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_
     dealt = groups.select("v", "rep", "n").mapInArrow(deal, "task int, side byte, rep long, n long, raw binary")
     dealt = dealt.repartition(max(parts(spark), min(len(tasks), 4096)), "task").sortWithinPartitions("task")
     found = settle(dealt.mapInArrow(join, "rep long, links long, root long"), "vector-links")
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    label = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
+    label = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), found.count()).withColumnRenamed("node", "rep")
+    sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
+    # written, so that the join below is a plain one, which Spark can split at a vector that very many rows have
+    linked = settle(sums.join(label, "rep", "left"), "linked")
     shared = valid.join(groups.where("n > 1"), "v").select("id", "rep", "n").dropDuplicates(["id"])
     out = base.select("id", "valid").join(shared, "id", "left").select("id", "valid", F.coalesce("rep", "id").alias("rep"), F.coalesce("n", F.lit(1)).alias("n"))
-    out = out.join(links, "rep", "left").join(label, "rep", "left")
+    out = out.join(linked, "rep", "left")
     out = out.select("id", F.when(F.col("valid"), F.coalesce("links", F.lit(0)) + F.col("n") - 1).otherwise(0).cast("long").alias("n_links"), F.when(F.col("valid"), F.coalesce("component", "rep")).otherwise(F.col("id")).alias("component_id"))
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
