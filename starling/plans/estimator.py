@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 import warnings
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -104,11 +104,10 @@ def fit_runs(edges: DataFrame, coded: DataFrame, c: int, seeds: dict[int, int |
     kernel = fit_batch if mode == "batch" else fit_sequential
     weights = state.distance_weights(float(dexp))
 
-    def one(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        run = int(key[0])
-        left = left.sort_values("node_id")
-        ids, cls = left["node_id"].to_numpy(), left["cls"].to_numpy(np.int64)
-        src, dst = np.searchsorted(ids, right["src"].to_numpy()), np.searchsorted(ids, right["dst"].to_numpy())
+    def one(run: int, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left = left.sort_values("a")
+        ids, cls = left["a"].to_numpy(), left["b"].to_numpy(np.int64)
+        src, dst = np.searchsorted(ids, right["a"].to_numpy()), np.searchsorted(ids, right["b"].to_numpy())
         order = np.lexsort((dst, src))
         begin = np.concatenate([[0], np.cumsum(np.bincount(src, minlength=len(ids)))])
         seed = seeds.get(run)
@@ -118,9 +117,17 @@ def fit_runs(edges: DataFrame, coded: DataFrame, c: int, seeds: dict[int, int |
         took = time.perf_counter() - t
         return pd.DataFrame({"run": np.int32(run), "node_id": ids, "cls": fit.labels(cls).astype(np.int32), "dom": list(fit.dominance), "own": list(fit.own_shares()), "iterations": np.int32(fit.iterations), "seconds": took})
 
-    runs = coded.select(F.col("run").alias("for_run")).distinct()
-    graph_rows = edges.select("src", "dst").join(F.broadcast(runs))  # one row for each run asked for
-    return coded.groupBy("run").cogroup(graph_rows.groupBy("for_run")).applyInPandas(one, RESULT)
+    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = list(batches)
+        for place, part in pd.concat(rows).groupby("place") if rows else ():
+            yield one(order[place], part[part["node"]], part[~part["node"]])
+
+    # a place of its own for each run, so that neither hashing nor coalescing puts fits behind each other
+    order = sorted(seeds)
+    place = F.create_map(*[x for k, run in enumerate(order) for x in (F.lit(run), F.lit(k))])
+    nodes = coded.select(place[F.col("run")].alias("place"), F.lit(True).alias("node"), F.col("node_id").alias("a"), F.col("cls").cast("long").alias("b"))
+    lines = edges.select(F.explode(F.sequence(F.lit(0), F.lit(len(order) - 1))).alias("place"), F.lit(False).alias("node"), F.col("src").alias("a"), F.col("dst").alias("b"))
+    return nodes.union(lines).repartitionById(len(order), F.col("place")).mapInPandas(each, RESULT)
 
 
 def repeated_runs(edges: DataFrame, truth: DataFrame, k_nn: int, n_runs: int = 10, fraction: float = 0.1, mode: str = "batch", es_chk: int = 2000, **params) -> DataFrame:
