@@ -142,6 +142,30 @@ def test_isolated_particle_stays(spark):
     assert {r.home: r.cur for r in s.particles.collect()}[3] == 3
 
 
+def test_greedy_without_mass_walks_at_random(spark):
+    """All neighbours belong to another class for good: weights are zero, the move is a random one and is refused."""
+    adj = graph.neighbor_lists(graph.edge_graph(frame(spark, [(0, 1), (0, 2)])))
+    coded = spark.createDataFrame([(0, 0), (1, 1), (2, 1)], "node_id long, cls int")
+    s = state.initial_state(adj, coded, 2)
+    p = step.Params(p_grd=1.0)
+    moves = {r.pid: r for r in step.targets(s, p, 0).collect()}
+    assert moves[0].greedy and not moves[0].picked and moves[0].target in (1, 2)
+    after = {r.pid: r for r in step.superstep(s, p, 0).particles.collect()}
+    assert after[0].cur == 0 and after[0].strength == 0.0
+
+
+def test_path_distances_grow_by_one(spark):
+    adj = graph.neighbor_lists(graph.edge_graph(frame(spark, [(0, 1), (1, 2), (2, 3), (3, 4)])))
+    coded = spark.createDataFrame([(0, 0), (1, -1), (2, -1), (3, -1), (4, 1)], "node_id long, cls int")
+    s = state.initial_state(adj, coded, 2)
+    assert s.far == 4
+    s = step.superstep(s, step.Params(), 0)
+    known = {(r.pid, r.node_id): r.d for r in s.dist.collect()}
+    assert known == {(0, 0): 0, (0, 1): 1, (1, 4): 0, (1, 3): 1}
+    dom = {r.node_id: r.dom for r in s.nodes.collect()}
+    assert np.allclose(dom[1], [0.6, 0.4]) and np.allclose(dom[3], [0.4, 0.6]) and dom[2] == [0.5, 0.5]
+
+
 def test_component_without_seeds_gets_the_smallest_class(spark):
     edges = frame(spark, [(0, 1), (1, 2), (10, 11)])
     lab = spark.createDataFrame([(0, 5), (2, 7)], "node_id long, label long")
