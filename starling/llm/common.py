@@ -28,6 +28,7 @@ def pick(df: DataFrame, **cols: str) -> DataFrame:
     missing = [c for c in cols.values() if c not in names]
     if missing:
         raise ValueError(f"no column {missing} among {names}")
+    prepare(df.sparkSession)
     flat = df.toDF(*[f"_c{i}" for i in range(len(names))])
     return flat.select(*[F.col(f"_c{names.index(c)}").alias(a) for a, c in cols.items()])
 

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starling.llm.common import settle
+from starling.llm.common import prepare, settle
 
 
 def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -58,6 +58,7 @@ def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def components(links: DataFrame, at_most: int) -> DataFrame:
     """``node, component`` of every node with a link; ``links`` has long columns ``a`` and ``b`` and ``at_most`` rows."""
+    prepare(links.sparkSession)
     links = links.where("a <> b").mapInPandas(_contract, "a long, b long")
     both = settle(links.union(links.select("b", "a")).distinct(), "links", 2 * at_most)
     labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label"), F.lit(True).alias("moved")), "labels", 2 * at_most)

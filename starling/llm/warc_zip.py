@@ -192,6 +192,7 @@ def with_revisits(pages: DataFrame, id_col: str, url_col: str, payload_col: str)
     large = F.length("payload") >= MIN_REVISIT
     # combined before the shuffle; only payloads that occur again are joined back
     firsts = p.where(large).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
+    firsts = settle(firsts, "payloads")  # written, so that the join is a plain one, which Spark can split at a payload that very many rows have
     return p.join(firsts, "digest", "left").withColumn("first", F.when(F.coalesce(F.col("id") != F.col("first"), F.lit(True)), F.col("first")))
 
 
