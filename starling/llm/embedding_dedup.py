@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from starling.llm.common import parts, pick, prepare, settle
 from starling.llm.components import components, roots
 
-BLOCK, CHUNK, ROWS, PAIRS = 16, 8192, 512, 1 << 16
+BLOCK, CHUNK, ROWS, PAIRS = 16, 16384, 512, 1 << 16
 SLACK = 1e-9  # on shares, for rounding in the rotation; far below what it lets in
 
 
