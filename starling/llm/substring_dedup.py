@@ -251,7 +251,7 @@ class Portion:
 
     @staticmethod
     def pack(bucket: np.ndarray, entries: np.ndarray, texts) -> Iterator[pa.RecordBatch]:
-        zip_ = zstandard.ZstdCompressor(level=3)
+        zip_ = zstandard.ZstdCompressor(level=5)
         order = np.argsort(bucket, kind="stable")
         begin = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0]))
         blobs = []
