@@ -433,6 +433,26 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     assert all(out[k] == 0 for k in range(400)) and all(out[1000 + k] == 1000 + k for k in range(200))
 
 
+def test_links_inside_a_crowd(spark):
+    """One template with fills of their own: any two are at 199/253, pairs that share three words of fill at 202/250."""
+    template = " ".join(f"t{k}" for k in range(200))
+    fill = lambda k, n: " ".join(f"f{k}_{j}" for j in range(n))
+    rows = [(k, f"{template} {fill(k, 27)}") for k in range(500)]
+    rows += [(1000 + 2 * k + side, f"{template} {fill(-k, 3)} {fill(1000 + 2 * k + side, 24)}") for k in range(1, 51) for side in (0, 1)]
+    rows += [(5000 + k, f"{template} {fill(9999, 27)} {fill(5000 + k, 1)}") for k in range(300)]  # a group that the forest links
+    random.Random(3).shuffle(rows)
+    out = {x.doc_id: x.component_id for x in minhash_forest.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert out == {k: 5000 if k >= 5000 else k - k % 2 if k >= 1000 else k for k in out} and len(out) == 900
+
+
+@pytest.mark.parametrize("dense", [0, 5, 10**9])
+def test_common_counts_of_blocks(monkeypatch, dense):
+    monkeypatch.setattr(minhash_forest, "DENSE", dense)
+    r = np.random.default_rng(2)
+    x, y = ([np.unique(r.integers(0, 80, r.integers(1, 40)).astype(np.uint64)) for _ in range(m)] for m in (30, 17))
+    assert minhash_forest.common_counts(x, y).tolist() == [[len(np.intersect1d(a, b)) for b in y] for a in x]
+
+
 def test_shingle_sets_are_exact():
     texts = [b"a b a b c", b"A B a b C", b"a", b"", b"a b", b"b a"]
     two = [len(s) for s in minhash_forest.shingle_sets(texts, 2)]
