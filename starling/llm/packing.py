@@ -4,8 +4,8 @@ Documents are tokenized, each followed by an end id.  A partition's documents
 form shards of consecutive documents (``SHARD_BYTES`` of text or
 ``SHARD_DOCS`` documents, a bound of a task's memory whatever the partition).
 Each shard gets a BM25 inverted index over its token ids.  A window starts with
-a seed document; the index returns the unused documents that score best for
-the seed's rarest terms, and they fill the window one after the other.  A
+a seed document; the index ranks the unused documents by their score for all
+of the seed's terms, and they fill the window one after the other.  A
 document that doesn't fit is cut at the window's end, and its rest seeds the
 next window, so only the last window of a shard can need padding.  Without any
 neighbour left the next unused document in order is taken.  A document longer
@@ -38,7 +38,7 @@ from starling.llm.common import pick, prepare
 
 SHARD_BYTES, SHARD_DOCS = 8 << 20, 60_000
 K1, B = 1.2, 0.75
-QUERY_TERMS, NEIGHBOURS = 16, 16
+NEIGHBOURS = 16  # so many of a ranking are sorted at a time
 
 #: Characters whose classes all regular-expression engines agree on.
 _PLAIN_BYTES = bytes([9, 10, 13, *range(0x20, 0x7F)])
@@ -119,24 +119,36 @@ class Bm25:
         self.doc_begin = np.searchsorted(doc, np.arange(n + 1))
         self.term = term
         order = np.argsort(term.astype(np.uint16) if terms <= 1 << 16 else term, kind="stable")
-        self.posting, self.score = doc[order], score[order].astype(np.float32)
+        self.posting, self.score = doc[order].astype(np.intp), score[order].astype(np.float64)
         self.begin = np.concatenate([[0], np.cumsum(df)])
+        # terms of many documents as whole rows: adding a row is faster than adding its postings
+        self.rows = {}
+        for t in np.flatnonzero(df > n / 8).tolist():
+            row = self.rows[t] = np.zeros(n)
+            row[self.posting[self.begin[t] : self.begin[t + 1]]] = self.score[self.begin[t] : self.begin[t + 1]]
 
     def neighbours(self, seed: int, used: np.ndarray) -> list[int]:
-        """Unused documents by falling score for the seed's rarest terms."""
+        return list(self.ranked(seed, used))
+
+    def ranked(self, seed: int, used: np.ndarray) -> Iterator[int]:
+        """Unused documents by falling score for all of the seed's terms; of equal scores the earlier document first."""
         own = self.term[self.doc_begin[seed] : self.doc_begin[seed + 1]]
-        idf = self.idf[own]
-        if len(own) > QUERY_TERMS:
-            own = own[np.argpartition(idf, len(own) - QUERY_TERMS)[-QUERY_TERMS:]]
-        spans = [(self.begin[t], self.begin[t + 1]) for t in own.tolist() if self.idf[t] > 0]
-        if not spans:
-            return []
-        found = np.bincount(np.concatenate([self.posting[a:b] for a, b in spans]), weights=np.concatenate([self.score[a:b] for a, b in spans]), minlength=self.n)
+        own = own[self.idf[own] > 0].tolist()
+        spans = [slice(self.begin[t], self.begin[t + 1]) for t in own if t not in self.rows]
+        found = np.zeros(self.n)
+        if spans:
+            found = np.bincount(np.concatenate([self.posting[x] for x in spans]), weights=np.concatenate([self.score[x] for x in spans]), minlength=self.n)
+        for t in own:
+            if t in self.rows:
+                found += self.rows[t]
         found[used] = 0
-        k = min(NEIGHBOURS, self.n)
-        best = np.argpartition(found, self.n - k)[-k:]
-        best = best[found[best] > 0]
-        return best[np.lexsort((best, -found[best]))].tolist()
+        left, k = np.flatnonzero(found > 0), NEIGHBOURS
+        while len(left):
+            score = found[left]
+            least = np.partition(score, len(left) - k)[len(left) - k] if len(left) > k else 0
+            best = left[score >= least]
+            yield from best[np.lexsort((best, -found[best]))].tolist()
+            left, k = left[score < least], 2 * k
 
 
 def fill_windows(docs: list[np.ndarray], size: int) -> list[tuple[int, int, int, int, int]]:
@@ -145,7 +157,6 @@ def fill_windows(docs: list[np.ndarray], size: int) -> list[tuple[int, int, int,
     used = np.zeros(len(docs), bool)
     out: list[tuple[int, int, int, int, int]] = []
     window, at, next_unused = 0, 0, 0
-    queue: list[int] = []
 
     def put(d: int) -> int:
         """Append a document piece by piece; the window that holds its end stays open."""
@@ -168,16 +179,14 @@ def fill_windows(docs: list[np.ndarray], size: int) -> list[tuple[int, int, int,
         put(seed)
         while at:  # fill the open window; a cut document is the next one's seed
             opened = window
-            queue = index.neighbours(seed, used)
-            if not queue:
-                break
-            for d in queue:
+            for d in index.ranked(seed, used):
                 used[d] = True
                 put(d)
                 if window != opened:
                     seed = d
                     break
-                seed = d
+            else:
+                break
     return out
 
 

@@ -142,6 +142,29 @@ def test_neighbours_are_lexically_close():
     assert 11 not in index.neighbours(10, used)
 
 
+def test_windows_follow_the_whole_ranking():
+    """All terms of a seed count, and its ranking goes on until the window is full."""
+    r = np.random.default_rng(4)
+    docs = [r.integers(0, 300, r.integers(60, 140)).astype(np.uint32) for _ in range(60)]
+    df = Counter(t for d in docs for t in set(d.tolist()))
+    mean = sum(map(len, docs)) / 60
+
+    def score(seed, d):
+        tf = Counter(docs[d].tolist())
+        norm = packing.K1 * (1 - packing.B + packing.B * len(docs[d]) / mean)
+        return sum(np.log1p((60 - df[t] + 0.5) / (df[t] + 0.5)) * tf[t] * (packing.K1 + 1) / (tf[t] + norm) for t in set(docs[seed].tolist()))
+
+    used = np.zeros(60, bool)
+    used[[0, 7]] = True
+    want = sorted((d for d in range(60) if not used[d]), key=lambda d: -score(0, d))
+    assert packing.Bm25(docs).neighbours(0, used) == want
+    used[7] = False
+    pieces = packing.fill_windows(docs, 3000)
+    first = list(dict.fromkeys(d for d, _, _, window, _ in pieces if window == 0))
+    want = sorted(range(1, 60), key=lambda d: -score(0, d))
+    assert len(first) > 20 and first == [0, *want[: len(first) - 1]]
+
+
 def test_fast_ids_equal_the_library():
     from tokenizers import Tokenizer
 
