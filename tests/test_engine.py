@@ -8,6 +8,7 @@ import pytest
 from starling.functions.draws import XORSHIFT_SEED, xorshift32
 from starling.functions.kernels import Stop, fit_batch, fit_sequential
 from starling.operators import graph, prep, state, step
+from starling.plans import queries
 from starling.plans.estimator import GraphLabeler, repeated_runs
 from starling.sources import tables
 
@@ -243,3 +244,15 @@ def test_planted_blocks_are_found(spark):
     for mode in ("sequential", "batch"):
         runs = repeated_runs(edges, truth, 10, n_runs=2, mode=mode, max_iter=300).collect()
         assert min(r.accuracy for r in runs) > 0.9
+
+
+def test_registered_fits_run_until_they_stop(spark, monkeypatch):
+    sf, most, given = "/root/testdata/sf0.001", 500_000, []
+    runs = queries.q41(spark, sf).collect()
+    assert len(runs) == 10 and all(2010 <= r.iterations < most for r in runs)
+    fit = GraphLabeler.fit_predict
+    monkeypatch.setattr(GraphLabeler, "fit_predict", lambda self, *a, **more: given.append((self, fit(self, *a, **more))) or given[-1][1])
+    for query in (queries.q38, queries.q39, queries.q42, queries.flagship):
+        assert query(spark, sf).count() > 0
+        assert 2010 <= given[-1][0].result.first().iterations < most
+    assert len(given) == 4
