@@ -8,19 +8,17 @@ all harmless.
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The separators of the word class ``[^\x20\x09-\x0D]+`` (fixed values).
-WS_CLASS = r"[\x20\x09-\x0D]+"
+from starling.functions.storage import new_path, prepare, written
 
-_REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+__all__ = ["WS_CLASS", "crc_of", "fold", "new_path", "parts", "pick", "prepare", "settle"]
 
+#: The separators of the word class ``[^\x20\x09-\x0D]+`` (fixed values).
+WS_CLASS = r"[\x20\x09-\x0D]+"
 
 def pick(df: DataFrame, **cols: str) -> DataFrame:
     """``df``'s columns ``cols[alias]`` under the given aliases, found by exact name and position."""
@@ -33,50 +31,13 @@ def pick(df: DataFrame, **cols: str) -> DataFrame:
     return flat.select(*[F.col(f"_c{names.index(c)}").alias(a) for a, c in cols.items()])
 
 
-def prepare(spark: SparkSession) -> None:
-    """Let Python workers import this package when the driver did not start in the repository.
-
-    On a cluster ship the package with ``--py-files``; this only helps local runs.
-    """
-    env = spark.sparkContext.environment
-    paths = env.get("PYTHONPATH", "").split(os.pathsep)
-    if _REPO not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([_REPO, *[p for p in paths if p]])
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    have = spark.conf.get("spark.checkpoint.dir", None)
-    if have:
-        return have.rstrip("/")
-    known = spark.sparkContext.getCheckpointDir()
-    if known is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="starling-"))
-        known = spark.sparkContext.getCheckpointDir()
-    return known.rstrip("/")
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/starling-{tag}-{uuid.uuid4().hex}"
-
-
-ROWS_A_FILE = 100_000
-
-
-def settle(df: DataFrame, tag: str, at_most: int | None = None) -> DataFrame:
+def settle(df: DataFrame, tag: str, small: bool = False) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the files.
 
     This cuts the lineage at a place that survives a lost executor, and keeps a
-    costly step from running again for each of its consumers.  ``at_most``, a bound
-    of the rows, keeps small tables from becoming thousands of tiny files: one
-    for every ROWS_A_FILE rows.
+    costly step from running again for each of its consumers.  ``small``: see ``written``.
     """
-    spark = df.sparkSession
-    if at_most is not None:
-        df = df.coalesce(1 + at_most // ROWS_A_FILE)
-    path = new_path(spark, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df, f"starling-{tag}", small)
 
 
 def crc_of(value: object) -> int:

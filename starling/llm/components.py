@@ -56,16 +56,19 @@ def _contract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"a": a, "b": b})
 
 
-def components(links: DataFrame, at_most: int) -> DataFrame:
-    """``node, component`` of every node with a link; ``links`` has long columns ``a`` and ``b`` and ``at_most`` rows."""
+def components(links: DataFrame) -> DataFrame:
+    """``node, component`` of every node with a link; ``links`` has long columns ``a`` and ``b``.
+
+    A row with a null in either column links nothing.  Repeated links and those of a node with itself change nothing.
+    """
     prepare(links.sparkSession)
     links = links.where("a <> b").mapInPandas(_contract, "a long, b long")
-    both = settle(links.union(links.select("b", "a")).distinct(), "links", 2 * at_most)
-    labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label"), F.lit(True).alias("moved")), "labels", 2 * at_most)
+    both = settle(links.union(links.select("b", "a")).distinct(), "links", small=True)
+    labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label"), F.lit(True).alias("moved")), "labels", small=True)
     while labels.where("moved").limit(1).count():
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
         # the label's own label, which is as small or smaller
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("u"))
         step = labels.select("node", "label").join(near, "node").join(up, "label")
-        labels = settle(step.select("node", F.least("label", "m", "u").alias("label"), (F.least("label", "m", "u") < F.col("label")).alias("moved")), "labels", 2 * at_most)
+        labels = settle(step.select("node", F.least("label", "m", "u").alias("label"), (F.least("label", "m", "u") < F.col("label")).alias("moved")), "labels", small=True)
     return labels.select("node", F.col("label").alias("component"))
