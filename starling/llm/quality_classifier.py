@@ -9,10 +9,11 @@ whose output is the score.  A filter is applied in ``WIDTH / STEP`` slices, each
 one matrix product over the embedded bytes laid out in rows, which needs no copy
 of overlapping windows.
 
-Fitting: Adam on the logistic loss, on at most ``max_train`` labelled rows of each class (the
-smallest by a hash of the id) of at most ``max_train_chars`` characters each;
-these bounds are the only sampling.  Everything is seeded: the same rows give
-the same network.
+Fitting: Adam on the logistic loss, on ``max_train`` labelled rows of each class (the
+least by a hash of the id; all of them if there are fewer) of at most ``max_train_chars``
+characters each; these bounds are the only sampling.  Everything is seeded: the same rows give
+the same network.  An id whose labels contradict each other isn't learned from; of an
+id's different texts the least is.
 
 Defined results: null and empty texts are one chunk of padding and get the
 score the network gives that.  A null id belongs to no fold: it is not held out,
@@ -151,14 +152,18 @@ class ByteNet:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_train: int, max_train_chars: int, usable) -> list:
-    """(text, label) of at most ``max_train`` rows of each class, chosen by a hash of the id."""
+    """(id, text, label) of ``max_train`` rows of each class, or of all there are; those with the least hash of the id.
+
+    Labels meet the ids of documents that can be learned from before any are chosen, so none is chosen in vain.
+    """
     lab = pick(labels, _id=id_col, _y=label_col).where(F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & usable(F.col("_id")))
-    lab = lab.groupBy("_id").agg(F.max("_y").alias("_y"))
+    lab = lab.groupBy("_id").agg(F.min("_y").alias("_y"), F.max("_y").alias("_z")).where("_y = _z").select("_id", "_y")
+    d = pick(docs, _id=id_col, _text=text_col).where(F.length("_text") <= max_train_chars)
+    there = d.select("_id").join(lab, "_id").distinct()  # ids alone cross the shuffle
     order = [F.xxhash64("_id"), F.col("_id")]
-    chosen = lab.where("_y = 0").orderBy(*order).limit(max_train).union(lab.where("_y = 1").orderBy(*order).limit(max_train))
-    d = pick(docs, _id=id_col, _text=text_col).where(F.col("_text").isNotNull() & (F.length("_text") <= max_train_chars))
-    rows = d.join(F.broadcast(chosen), "_id").select("_id", F.col("_text").cast("binary").alias("t"), "_y").dropDuplicates(["_id"])  # chosen: 2 * max_train rows at most
-    return sorted(rows.collect(), key=lambda r: r[0])
+    chosen = there.where("_y = 0").orderBy(*order).limit(max_train).union(there.where("_y = 1").orderBy(*order).limit(max_train))
+    rows = d.join(F.broadcast(chosen), "_id").select("_id", F.col("_text").cast("binary").alias("t"), "_y")  # chosen: 2 * max_train rows at most
+    return sorted(tuple(r) for r in rows.groupBy("_id", "_y").agg(F.min("t").alias("t")).select("_id", "t", "_y").collect())
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = 1000, max_train_chars: int = 20_000, usable=None, seed: int = 7) -> ByteNet:
@@ -190,7 +195,7 @@ def score_documents(docs: DataFrame, net: ByteNet, id_col: str = "doc_id", text_
     return d.mapInArrow(run, f"_id {kind}, score double").withColumnRenamed("_id", id_col)
 
 
-def keep_good(docs: DataFrame, net: ByteNet, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, net: ByteNet, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` with a score of ``threshold`` or more, with all their columns."""
     prepare(docs.sparkSession)
     flat = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))])
