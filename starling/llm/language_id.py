@@ -7,11 +7,10 @@ machines predict the language *family*; within the family, one linear machine
 for each pair of languages votes on the language.  Most votes win, then the
 larger sum of margins, then the first language by name.
 
-Fitting: dual coordinate descent on the squared hinge loss, over at most
-``max_train`` labelled rows of each of at most ``max_langs`` languages (the
-most frequent ones; rows chosen by a hash of the id, of at most
-``max_train_chars`` characters).  These bounds are the only sampling; every
-text is scored whole.
+Fitting: dual coordinate descent on the squared hinge loss, over ``max_train``
+labelled rows of each language, whole texts, or over all it has with a letter.
+The rows are chosen by a hash of the id; this is the only sampling, and no
+language is left out.  Every text is scored whole.
 
 Defined results: ``und`` with score 0 for a null text and for one without a
 letter.  A null id belongs to no fold: not held out, and not learned from.
@@ -23,6 +22,7 @@ Repeated rows get equal results.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -141,23 +141,27 @@ class Hierarchy:
         return list(out), np.clip(score, 0.0, 1.0)
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", usable=None, max_train: int = 500, max_langs: int = 100, max_train_chars: int = 20_000) -> Hierarchy | None:
-    d = pick(docs, _id=id_col, _text=text_col, _lang=lang_col).where(F.col("_lang").isNotNull() & F.col("_id").isNotNull() & F.col("_text").isNotNull())
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", usable=None, max_train: int = 500) -> Hierarchy | None:
+    prepare(docs.sparkSession)
+    d = pick(docs, _id=id_col, _text=text_col, _lang=lang_col).where(F.col("_lang").isNotNull() & F.col("_id").isNotNull() & F.col("_text").rlike(r"\p{L}"))
     if usable is not None:
         d = d.where(usable(F.col("_id")))
-    counts = d.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(max_langs).collect()
-    if not counts:
-        return None
+    counts = d.groupBy("_lang").agg(F.count("*").alias("n"))
     # a hash of the id thins each language to about twice the bound, then the least hashes are taken
-    draw = (F.xxhash64(F.col("_id").cast("string")) % 1_000_000 + 1_000_000) % 1_000_000
-    chance = F.lit(-1)
-    for r in counts:
-        chance = F.when(F.col("_lang") == r["_lang"], min(1_000_000, 1 + 2_000_000 * max_train // r["count"])).otherwise(chance)
-    some = d.where((draw < chance) & (F.length("_text") <= max_train_chars)).select("_lang", draw.alias("h"), F.col("_id").cast("string").alias("i"), F.col("_text").cast("binary").alias("t"))
-    rank = F.row_number().over(Window.partitionBy("_lang").orderBy("h", "i"))
-    rows = sorted((r[0], r[1], r[2], bytes(r[3])) for r in some.withColumn("k", rank).where(F.col("k") <= max_train).select("_lang", "h", "i", "t").collect())
-    rows = [r for r in rows if has_letter(r[3])]
-    return Hierarchy(np.array([vector(r[3]) for r in rows]), [r[0] for r in rows]) if rows else None
+    draw = F.pmod(F.xxhash64(F.col("_id").cast("string")), F.lit(1_000_000))
+    some = d.withColumn("h", draw).join(F.broadcast(counts), "_lang")  # a row for each language
+    some = some.where(F.col("h") < F.floor(F.lit(2_000_000 * max_train) / F.col("n")) + 1).select("_lang", "h", F.col("_id").cast("string").alias("i"), F.col("_text").cast("binary").alias("t"))
+    rank = F.row_number().over(Window.partitionBy("_lang").orderBy("h", "i", "t"))
+    chosen = some.withColumn("k", rank).where(F.col("k") <= max_train).select("_lang", "h", "i", "t")
+
+    def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = [vector(t.as_buffer().to_pybytes()) for t in b.column(3)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([zlib.compress(v.tobytes(), 1) for v in x], pa.binary())], names=["lang", "h", "i", "x"])
+
+    # vectors, not texts, come to the driver: their size is fixed, so a text of any length can be learned from whole
+    rows = sorted(tuple(r) for r in chosen.mapInArrow(shrink, "lang string, h long, i string, x binary").collect())
+    return Hierarchy(np.array([np.frombuffer(zlib.decompress(r[3]), np.float32) for r in rows]), [r[0] for r in rows]) if rows else None
 
 
 def predict_languages(docs: DataFrame, model: Hierarchy | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
