@@ -14,8 +14,9 @@ A payload of at least ``MIN_REVISIT`` bytes is stored once, in the record of the
 smallest id; other records with an equal payload are ``revisit`` records that
 name it.  Equal payloads are found by SHA-256 and length, by a grouped minimum
 (combined before the shuffle) joined back; Spark may split that join where a
-payload makes up a large share of all rows.  The payload of a revisit record
-comes from the response it names, by a join of the records read.
+payload makes up a large share of all rows.  What is read back is written as a
+table, and each revisit record gets its payload, digest and length from the response
+it names, by a join of the records read; one that leads to none is an error.
 
 Files go to the shared folder through ``pyarrow.fs``.  A file's name has the
 task attempt in it, and only files named by a finished attempt are read, so
@@ -23,8 +24,9 @@ a lost or repeated task leaves at most an unread file.
 
 Defined results: a null payload counts as empty.  A null id is kept as null and
 is never one that others refer to.  Rows that repeat an id and payload are a
-response each and a revisit of none (they share the smallest id).  An empty
-table gives an empty result.
+response each and a revisit of none (they share the smallest id).  An id that
+repeats with other payloads is a record each; a revisit's digest says which of
+them it means.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -249,7 +251,8 @@ def read_packages(files: DataFrame, folder: str) -> DataFrame:
     """One row per record of the packages in ``files``: ``page_id, url, record_type, refers_to, payload_digest, payload_bytes`` and ``payload``.
 
     Digest and length of a response are those of the payload read; a record
-    whose header says otherwise is an error.  A revisit has what its header says.
+    whose header says otherwise is an error.  A revisit has what its header says
+    until :func:`resolve_revisits` finds its payload.
     """
     prepare(files.sparkSession)
 
@@ -278,12 +281,28 @@ def read_packages(files: DataFrame, folder: str) -> DataFrame:
     return out.withColumns({"page_id": F.col("page_id").cast("long"), "refers_to": F.col("refers_to").cast("long")})
 
 
+def resolve_revisits(records: DataFrame) -> DataFrame:
+    """``records`` with payload, digest and length of revisits taken from the responses they name.
+
+    Only responses that are named cross the shuffle, once each.  ``records`` should be a written table:
+    then Spark can split the join at a response that very many records name.
+    """
+    named = records.where("record_type = 'revisit'").select(F.col("refers_to").alias("named"), F.col("payload_digest").alias("wanted")).distinct()
+    there = records.where(f"record_type = 'response' and payload_bytes >= {MIN_REVISIT}").select(F.col("page_id").alias("named"), F.col("payload_digest").alias("wanted"), F.col("payload_bytes").alias("found"), F.col("payload").alias("body"))
+    there = there.join(named, ["named", "wanted"], "left_semi").dropDuplicates(["named", "wanted"])
+    revisit = F.col("record_type") == "revisit"
+    d = records.withColumns({"named": F.col("refers_to"), "wanted": F.when(revisit, F.col("payload_digest"))}).join(there, ["named", "wanted"], "left")
+    lost = F.concat(F.lit("the revisit record of page "), F.coalesce(F.col("page_id").cast("string"), F.lit("(none)")), F.lit(" leads to no response with its payload"))
+    n = F.when(~revisit, F.col("payload_bytes")).otherwise(F.when(F.col("found") == F.col("payload_bytes"), F.col("found")).otherwise(F.raise_error(lost).cast("long")))
+    return d.select("page_id", "url", "record_type", "refers_to", "payload_digest", n.alias("payload_bytes"), F.when(revisit, F.col("body")).otherwise(F.col("payload")).alias("payload"))
+
+
 def round_trip(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
-    """Write the packages, then read every record of them back."""
+    """Write the packages, then read every record of them back, with its payload."""
     spark = pages.sparkSession
     folder = folder or new_path(spark, "packages")
     files = settle(write_packages(pages, folder, id_col, url_col, payload_col), "manifest")
-    return read_packages(files, folder)
+    return resolve_revisits(settle(read_packages(files, folder), "records"))
 
 
 def op4_warc_zip(spark, sf_dir: str) -> DataFrame:
