@@ -94,6 +94,44 @@ def test_hierarchy_covers_families_and_pairs():
     assert got == y and score.min() > 0 and len(model.families) == 4
 
 
+def test_votes_and_ties_by_hand():
+    """Family by the largest machine, then one vote for each pair; ties go to the larger sum of margins, then to the first name."""
+    model = language_id.Hierarchy.__new__(language_id.Hierarchy)
+    model.langs, model.families = ["ca", "es", "fr", "xx"], ["romance", "xx"]
+    model.members, model.rest = [["ca", "es", "fr"], ["xx"]], 1
+    model.pairs = [[(0, 1, 1), (0, 2, 2), (1, 2, 3)], []]
+    model.w = np.vstack([np.eye(4), np.zeros(4)]).astype(np.float32)
+
+    def plainly(z):
+        if z[0] < 0:
+            return "xx"
+        votes, sums = Counter(), Counter()
+        for a, b, m in (("ca", "es", z[1]), ("ca", "fr", z[2]), ("es", "fr", z[3])):
+            votes[a if m >= 0 else b] += 1
+            sums[a] += m
+            sums[b] -= m
+        return min(("ca", "es", "fr"), key=lambda k: (-votes[k], -sums[k], k))
+
+    cases = [[1, 1, 1, 1], [1, -1, 1, 1], [1, 2, -1, 1], [1, 1, -2, 1], [1, 1, -1, 1], [-1, 1, 1, 1], [1, 0, 0, 0], [1, -1, -1, -1], [1, 1, -1, 2]]
+    x = np.array(cases, np.float32)
+    langs, scores = model.predict(x)
+    assert langs == [plainly(z) for z in cases] and langs[4] == "ca" and langs[2] == "ca" and langs[3] == "fr"
+    sure = lambda m: 1 / (1 + np.exp(-4 * m))
+    assert np.allclose(scores[:3], [sure(1) * sure(1), sure(1) * sure(1), sure(1) * sure(-1)])
+
+
+def test_every_language_is_learned(spark):
+    """105 languages, one of long texts only, and one with a single usable row."""
+    word = lambda k: "".join(chr(97 + (k * 7 + j * (k + 3)) % 26) for j in range(6))
+    rows = [(200 * k + j, f"{word(k)} {word(k + 1)} {word(k)} " * (2 + j), f"l{k}") for k in range(105) for j in range(2)]
+    rows += [(90_000 + j, "ωξψ ζθη " * (9_000 + j), "gr") for j in range(3)] + [(95_000, "12 34", "one"), (95_001, None, "one"), (95_002, "ещё один", "one")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    assert len(model.langs) == 107
+    got = {r.doc_id: r.lang_pred for r in language_id.predict_languages(docs, model).collect()}
+    assert got[90_000] == "gr" and got[95_002] == "one" and got[95_000] == got[95_001] == "und"
+
+
 # --- 3 packing
 
 
@@ -186,6 +224,8 @@ def test_packages_on_odd_input(spark, tmp_path):
     pages = spark.createDataFrame([(*r, "p", 1, "f") for r in rows], PAGE)
     got = Counter((r.page_id, r.record_type, r.refers_to, r.payload_bytes) for r in warc_zip.round_trip(pages, str(tmp_path / "w")).collect())
     assert got == Counter([(1, "response", None, 300_007), (1, "response", None, 300_007), (2, "revisit", 1, 300_007), (3, "response", None, 0), (4, "response", None, 0), (5, "response", None, 5), (6, "response", None, 5), (None, "revisit", 8, 120), (8, "response", None, 120), (9, "revisit", 8, 120)])
+    read = Counter((r.page_id, r.payload_digest == hashlib.sha256(bytes(r.payload)).hexdigest(), len(r.payload)) for r in warc_zip.round_trip(pages, str(tmp_path / "p")).collect())
+    assert read == Counter((i, True, len((t or "").encode())) for i, _, t in rows)  # revisits have the payload they name
     names = [f for f in os.listdir(tmp_path / "w") if f.endswith(".wacz")]
     assert names
     for name in names:  # an independent reader finds the same members
@@ -197,6 +237,42 @@ def test_packages_on_odd_input(spark, tmp_path):
     assert warc_zip.round_trip(pages.limit(0), str(tmp_path / "e")).count() == 0
 
 
+def test_ids_with_several_payloads(spark, tmp_path):
+    """An id that repeats with other payloads: a revisit names the id, and the digest says which of its payloads."""
+    a, b = "a" * 200, "b" * 300
+    pages = spark.createDataFrame([(1, "u", a), (1, "u", b), (2, "u", a), (2, "u", b), (3, "u", b)], "page_id long, url string, html string")
+    got = Counter((r.page_id, r.record_type, r.refers_to, bytes(r.payload).decode()) for r in warc_zip.round_trip(pages, str(tmp_path / "w")).collect())
+    assert got == Counter([(1, "response", None, a), (1, "response", None, b), (2, "revisit", 1, a), (2, "revisit", 1, b), (3, "revisit", 1, b)])
+
+
+@pytest.mark.parametrize("wrong", ["refers", "digest"])
+def test_revisits_must_lead_to_their_payload(spark, tmp_path, monkeypatch, wrong):
+    own = warc_zip.record
+
+    def other(kind, uri, page_id, payload, size, digest, refers_to=None):
+        if kind == "revisit" and wrong == "refers":
+            refers_to = 77
+        return own(kind, uri, page_id, payload, size, digest[::-1] if kind == "revisit" and wrong == "digest" else digest, refers_to)
+
+    pages = spark.createDataFrame([(1, "u", "a" * 200), (2, "u", "a" * 200)], "page_id long, url string, html string")
+    folder = str(tmp_path / "w")
+    monkeypatch.setattr(warc_zip, "write_packages", lambda *a, **k: _written_here(spark, folder, other))
+    with pytest.raises(Exception, match="leads to no"):
+        warc_zip.round_trip(pages, folder).collect()
+
+
+def _written_here(spark, folder, record):
+    """A package with one response and one revisit of the given making."""
+    os.makedirs(folder)
+    path, digest = f"{folder}/pages.wacz", hashlib.sha256(b"a" * 200).hexdigest()
+    with open(path, "wb") as f:
+        w = warc_zip.PackageWriter(warc_zip._Unseekable(f))
+        w.add({"page_id": 1, "url": "u", "digest": digest}, record("response", "u", 1, b"a" * 200, 200, digest))
+        w.add({"page_id": 2, "url": "u", "digest": digest}, record("revisit", "u", 2, b"", 200, digest, 1))
+        w.close()
+    return spark.createDataFrame([(path, os.path.getsize(path))], "path string, size long")
+
+
 def test_package_reader_formats():
     raw = io.BytesIO()
     with zipfile.ZipFile(raw, "w", zipfile.ZIP_STORED) as z:
@@ -247,9 +323,27 @@ def test_rules_catch_junk_and_keep_clean(spark):
     assert clean["kept"].mean() > 0.98 and d[d["quality"] == 0]["kept"].mean() < 0.1
 
 
-def test_rules_use_no_python(spark):
-    plan = quality_rules.features(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().toString()
-    assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+def test_rules_use_no_python(spark, monkeypatch):
+    """The plans of the query itself and of every table that it writes on its way."""
+    plans, settle = [], quality_rules.settle
+    monkeypatch.setattr(quality_rules, "settle", lambda df, *a, **k: plans.append(df) or settle(df, *a, **k))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    plans += [quality_rules.op5_quality_rules(spark, SF), quality_rules.keep_good(docs)]
+    assert len(plans) == 6 and not any(x in p._jdf.queryExecution().toString() for p in plans for x in ("Python", "Pandas", "Arrow"))
+
+
+def test_rules_learn_any_language(spark):
+    """A fifth language has a reference of its own; one with few documents, or none, is judged by the base rules alone."""
+    r = random.Random(5)
+    function, content = "i w nie na się z do to że jest o jak po co".split(), [f"słowo{k}" for k in range(400)]
+    prose = lambda: " ".join(r.choice(function) if r.random() < 0.45 else r.choice(content) for _ in range(150))
+    junk = lambda: " ".join(f"{r.choice(content)}{k}" for k in range(150))
+    rows = [(k, prose(), "pl") for k in range(60)] + [(100 + k, junk(), "pl") for k in range(6)]
+    rows += [(200 + k, junk(), lang) for k, lang in enumerate(["fi", "fi", None, None])]
+    kept = {x.doc_id: (x.kept, x.base_failed, x.word_distance) for x in quality_rules.judge_quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(kept[k][0] for k in range(60)) and not any(kept[100 + k][0] or kept[100 + k][1] for k in range(6))
+    assert all(kept[200 + k] == (True, False, None) for k in range(4))
+    assert set(function[:10]) <= set(quality_rules.common_words(spark.createDataFrame(rows, "doc_id long, text string, lang string")).first().common)
 
 
 # --- 6 embeddings
@@ -399,6 +493,37 @@ def test_classifier_sees_the_whole_text():
     assert np.allclose(batch, [net.scores([t])[0] for t in (text, b"", b"x", other)])
 
 
+def test_scores_by_plain_loops():
+    """Every filter at every position of the whole text, chunk by chunk, one multiplication at a time."""
+    net = quality_classifier.ByteNet(5)
+    p = {k: v.astype(float).tolist() for k, v in net.p.items()}
+    r = random.Random(1)
+    texts = [b"", b"a", b"abcdefgh", b"abcdefghi", bytes(r.randrange(256) for _ in range(2 * quality_classifier.CHUNK + 100))]
+    for text, score in zip(texts, net.scores(texts)):
+        n = max(1, -(-len(text) // 4) - 1)
+        padded = list(text) + [quality_classifier.PAD] * (4 * (n + 1) - len(text))
+        chunks = defaultdict(lambda: [-1e9] * quality_classifier.FILTERS)
+        for k in range(n):
+            x = [v for byte in padded[4 * k : 4 * k + 8] for v in p["emb"][byte]]
+            best = chunks[4 * k // quality_classifier.CHUNK]
+            for f in range(quality_classifier.FILTERS):
+                best[f] = max(best[f], sum(v * w[f] for v, w in zip(x, p["w"])))
+        tops = [[max(0.0, v + b) for v, b in zip(c, p["b"])] for c in chunks.values()]
+        h = [max(t[f] for t in tops) for f in range(quality_classifier.FILTERS)] + [sum(t[f] for t in tops) / len(tops) for f in range(quality_classifier.FILTERS)]
+        z = sum(a * b for a, b in zip(h, p["v"])) + p["c"][0]
+        assert abs(score - 1 / (1 + np.exp(-z))) < 1e-4
+
+
+def test_training_rows_of_both_classes(spark):
+    """A class has ``max_train`` rows, or all that can be learned from: labels without a usable document take no place."""
+    docs = spark.createDataFrame([(k, f"text {k}" if k % 7 else None) for k in range(200)] + [(1, "a first text"), (2, "x" * 50_000)], "doc_id long, text string")
+    lab = spark.createDataFrame([(k, int(k % 10 > 0)) for k in range(2000)] + [(11, 0), (20, 1), (21, 1)], "doc_id long, quality int")
+    rows = quality_classifier.training_rows(docs, lab, "doc_id", "text", "quality", 30, 20_000, lambda c: c != 3)
+    usable = [k for k in range(200) if k % 7 and k not in (3, 11, 20)]
+    assert [y for _, _, y in rows].count(1) == 30 and [i for i, _, y in rows if y == 0] == [k for k in usable if k % 10 == 0]
+    assert {i: t for i, t, _ in rows}.get(1, b"a first text") == b"a first text" and not {i for i, _, _ in rows} - set(usable)
+
+
 def test_classifier_on_odd_input(spark, odd_docs, no_docs):
     lab = spark.createDataFrame([(5, 1), (9, 0), (3, 1), (None, 1), (2, None), (9, 0)], "doc_id long, quality int")
     net = quality_classifier.train(odd_docs, lab)
@@ -504,5 +629,5 @@ def test_components_of_long_paths_and_stars(spark):
         p, q = sorted((root(a), root(b)))
         up[q] = p
     frame = spark.createDataFrame(pairs, "a long, b long").repartition(7)
-    assert {x.node: x.component for x in components.components(frame, len(pairs)).collect()} == {k: root(k) for k in up}
-    assert components.components(frame.limit(0), 0).count() == 0
+    assert {x.node: x.component for x in components.components(frame).collect()} == {k: root(k) for k in up}
+    assert components.components(frame.limit(0)).count() == 0
