@@ -1,6 +1,6 @@
 """Seeded random numbers: hash-uniform columns, and the xorshift32 stream.
 
-Hash-uniform numbers depend on (seed, step, particle, purpose) alone, so a lost
+Hash-uniform numbers depend on (seed, step, particle, purpose) alone, all integers, so a lost
 task draws the same again, and any SQL engine can draw them too.
 """
 
@@ -20,13 +20,28 @@ def hash_key(*parts: Column) -> Column:
     return F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]))
 
 
+#: Factors of the mixing of 32-bit words; products stay below 2**63, so no engine overflows.
+MIX = (0x45D9F3B, 0x2C1B3C6D)
+WORD = 0xFFFFFFFF
+PURPOSES = {"mode": 0, "pick": 1, "walk": 2}
+
+
 def uniform(*parts: Column) -> Column:
-    """A number in [0, 1) from the first 32 bits of the hash."""
-    return F.conv(F.substring(hash_key(*parts), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+    """A number in [0, 1) that integers decide: each in its turn is mixed into a 32-bit word."""
+
+    def mixed(h: Column, v: Column) -> Column:
+        x = (h.bitwiseXOR(v.bitwiseAND(F.lit(WORD))) * F.lit(MIX[0])).bitwiseAND(F.lit(WORD))
+        x = (x.bitwiseXOR(F.shiftright(x, 15)) * F.lit(MIX[1])).bitwiseAND(F.lit(WORD))
+        return x.bitwiseXOR(F.shiftright(x, 13))
+
+    word = F.aggregate(F.array(*[p.cast("long") for p in parts]), F.lit(0).cast("long"), mixed)
+    return word.cast("double") / F.lit(4294967296.0)
 
 
 def uniform_sql(*parts: str) -> str:
-    return f"(('0x' || substr(md5(concat_ws(':', {', '.join(parts)})), 1, 8))::BIGINT::DOUBLE / 4294967296.0)"
+    x = f"(xor(h, v & {WORD}) * {MIX[0]}) & {WORD}"
+    y = f"(xor({x}, ({x}) >> 15) * {MIX[1]}) & {WORD}"
+    return f"(list_reduce([{', '.join(parts)}]::BIGINT[], lambda h, v: xor({y}, ({y}) >> 13), 0::BIGINT)::DOUBLE / 4294967296.0)"
 
 
 def xorshift32(x: int) -> int:

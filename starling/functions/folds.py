@@ -9,8 +9,3 @@ from pyspark.sql import functions as F
 def fold_sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 
-
-def running_sums(values: Column) -> Column:
-    """Sums of the first 1, 2, ... values, each made from the one before."""
-    start = F.array().cast("array<double>")
-    return F.aggregate(values, start, lambda a, x: F.concat(a, F.array(F.coalesce(F.get(a, F.size(a) - 1), F.lit(0.0)) + x)))

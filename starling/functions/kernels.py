@@ -1,198 +1,63 @@
-"""Whole fits inside one task: particle loops over arrays.
+"""Whole fits inside one task, in the JVM.
 
 A converged fit takes thousands of steps of a few hundred moves each, so it runs
-where its graph is, in one task; many fits run side by side.  Neighbours are
-ascending, in compressed rows (``begin``, ``flat``).
+where its graph is, in one task; many fits run side by side.  Its loops are a Java
+UDF (``Walkers.java``), which the Java compiler that Spark brings along (Janino)
+translates at run time and Spark ships to the executors as a jar, so nothing has to be
+built or installed.  Rows never leave the JVM.
+
+``batch`` draws hash-uniform numbers, the same as ``operators.step`` does, so k
+steps of it equal k steps of the DataFrame plan; ``sequential`` draws from one xorshift32
+stream.  Both add up in a fixed order: equal input gives equal bits.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import os
+import tempfile
+import zipfile
 
-import numpy as np
-
-from starling.functions.draws import XORSHIFT_MAX, XORSHIFT_SEED
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 CHECK_EVERY = 10
-
-
-@dataclass
-class Fit:
-    dominance: np.ndarray
-    own: np.ndarray
-    iterations: int
-    checks: list[tuple[int, float, int]]  # (step, potential, checks without progress)
-
-    def labels(self, cls: np.ndarray) -> np.ndarray:
-        return np.where(cls == -1, self.dominance.argmax(1), cls)
-
-    def own_shares(self) -> np.ndarray:
-        t = self.own.sum(1, keepdims=True)
-        return self.own / np.where(t == 0, 1, t)
-
-
-class Stop:
-    """Potential is looked at every CHECK_EVERY steps; more than ``most`` looks without a new best end the fit."""
-
-    def __init__(self, most: int, early: bool):
-        self.most, self.early, self.best, self.idle, self.checks = most, early, 0.0, 0, []
-
-    def __call__(self, it: int, dominance) -> bool:
-        if not self.early or it % CHECK_EVERY:
-            return False
-        value = float(np.asarray(dominance).max(1).mean())
-        if value > self.best:
-            self.best, self.idle = value, 0
-        else:
-            self.idle += 1
-        self.checks.append((it, value, self.idle))
-        return self.idle > self.most
-
-
-def start(cls: np.ndarray, c: int) -> tuple[np.ndarray, np.ndarray]:
-    """Dominance, and the nodes that particles start from."""
-    dom = np.full((len(cls), c), 1.0 / c)
-    seeds = np.flatnonzero(cls != -1)
-    dom[seeds] = 0.0
-    dom[seeds, cls[seeds]] = 1.0
-    return dom, seeds
-
-
-def fit_sequential(begin, flat, cls, c, weights, stop: Stop, p_grd=0.5, delta_v=0.1, deltap=1.0, max_iter=500_000, seed=XORSHIFT_SEED) -> Fit:
-    """Particles move one after the other and see each other's changes at once; one xorshift32 stream drives all."""
-    n = len(cls)
-    first, seeds = start(cls, c)
-    dom, own = first.tolist(), [[0.0] * c for _ in range(n)]
-    nbs = [flat[begin[i] : begin[i + 1]].tolist() for i in range(n)]
-    fixed = (cls != -1).tolist()
-    far = min(n - 1, 255)
-    cur, kinds = seeds.tolist(), cls[seeds].tolist()
-    strength = [1.0] * len(cur)
-    dist = [bytearray([far]) * n for _ in cur]
-    for d, home in zip(dist, cur):
-        d[home] = 0
-    w = list(weights)
-    share, top, whole = delta_v / (c - 1), XORSHIFT_MAX, float(XORSHIFT_MAX)
-    x, it = seed, -1
-    particles = range(len(cur))
-    for it in range(max_iter):
-        for p in particles:
-            at = cur[p]
-            nb = nbs[at]
-            if not nb:
-                continue
-            k = kinds[p]
-            x ^= x << 13 & top
-            x ^= x >> 17
-            x ^= x << 5 & top
-            d = dist[p]
-            aim = -1
-            if x / whole < p_grd:
-                total = 0.0
-                slices = []
-                for j in nb:
-                    total += w[d[j]] * dom[j][k]
-                    slices.append(total)
-                if total > 0.0:
-                    x ^= x << 13 & top
-                    x ^= x >> 17
-                    x ^= x << 5 & top
-                    r = x / whole * total
-                    aim = nb[0]  # if rounding leaves no slice that reaches
-                    for i, v in enumerate(slices):
-                        if r <= v:
-                            aim = nb[i]
-                            break
-            picked = aim >= 0
-            if not picked:
-                x ^= x << 13 & top
-                x ^= x >> 17
-                x ^= x << 5 & top
-                aim = nb[x % len(nb)]
-            row = dom[aim]
-            if not fixed[aim]:
-                step = strength[p] * share
-                moved = 0.0
-                for i in range(c):
-                    v = row[i]
-                    if v < step:
-                        row[i] = 0.0
-                        moved += v
-                    else:
-                        row[i] = v - step
-                        moved += step
-                row[k] += moved
-            v = row[k]
-            if deltap == 1.0:
-                s = v
-            else:
-                s = strength[p] + (v - strength[p]) * deltap
-            strength[p] = s
-            here = d[at]
-            if here < 255 and d[aim] > here + 1:
-                d[aim] = here + 1
-            if not picked:
-                own[aim][k] += s
-            if v == max(row):
-                cur[p] = aim
-        if stop(it, dom):
-            break
-    return Fit(np.array(dom), np.array(own), it + 1, stop.checks)
-
-
-def fit_batch(begin, flat, cls, c, weights, stop: Stop, p_grd=0.5, delta_v=0.1, deltap=1.0, max_iter=500_000, seed=1) -> Fit:
-    """All particles move at once from the same state, as array operations; isolated particles stay."""
-    rng = np.random.default_rng(seed)
-    n = len(cls)
-    dom, cur = start(cls, c)
-    own = np.zeros((n, c))
-    degree = np.diff(begin)
-    wide = max(1, int(degree.max(initial=0)))
-    table = np.full((n, wide), -1, np.int64)
-    table[np.repeat(np.arange(n), degree), np.arange(len(flat)) - np.repeat(begin[:-1], degree)] = flat
-    kinds = cls[cur]
-    p = np.arange(len(cur))
-    dist = np.full((len(cur), n), min(n - 1, 255), np.int16)
-    dist[p, cur] = 0
-    strength = np.ones(len(cur))
-    w = np.append(np.asarray(weights, float), 0.0)
-    share, it = delta_v / (c - 1), -1
-    free = cls == -1
-    live = p[degree[cur] > 0]  # particles move along edges only, so who is isolated stays so
-    for it in range(max_iter):
-        at, k = cur[live], kinds[live]
-        u = rng.random((3, len(live)))
-        greedy = u[0] < p_grd
-        nb = table[at]
-        deg = degree[at]
-        aim = nb[np.arange(len(live)), (u[2] * deg).astype(np.int64)]
-        g = np.flatnonzero(greedy)
-        picked = np.zeros(len(live), bool)
-        if len(g):
-            near = nb[g]
-            weight = dom[near, k[g, None]] * w[dist[live[g, None], near]]
-            weight[near < 0] = 0.0
-            slices = np.cumsum(weight, axis=1)
-            total = slices[:, -1]
-            i = np.minimum((slices < (u[1][g] * total)[:, None]).sum(1), deg[g] - 1)
-            ok = total > 0
-            aim[g[ok]] = near[ok, i[ok]]
-            picked[g[ok]] = True
-        f = np.flatnonzero(free[aim])
-        rows = dom[aim[f]]
-        cut = np.minimum(rows, (strength[live[f]] * share)[:, None])
-        flat_dom = dom.reshape(-1)
-        np.subtract.at(flat_dom, (aim[f, None] * c + np.arange(c)).reshape(-1), cut.reshape(-1))
-        np.add.at(flat_dom, aim[f] * c + k[f], cut.sum(1))
-        found = dom[aim, k]
-        strength[live] = found if deltap == 1.0 else strength[live] + (found - strength[live]) * deltap
-        here = dist[live, at]
-        nearer = (here < 255) & (dist[live, aim] > here + 1)
-        dist[live[nearer], aim[nearer]] = here[nearer] + 1
-        walk = ~picked
-        np.add.at(own.reshape(-1), aim[walk] * c + k[walk], strength[live][walk])
-        enters = found == dom[aim].max(1)
-        cur[live[enters]] = aim[enters]
-        if stop(it, dom):
-            break
-    return Fit(dom, own, it + 1, stop.checks)
+NAME = "starling_walkers"
+
+_SOURCE = os.path.join(os.path.dirname(os.path.abspath(__file__)), "Walkers.java")
+_RESULT = StructType([
+    StructField("cls", ArrayType(IntegerType())), StructField("dom", ArrayType(ArrayType(DoubleType()))), StructField("own", ArrayType(ArrayType(DoubleType()))),
+    StructField("iterations", IntegerType()), StructField("seconds", DoubleType()),
+])
+_ready: dict[str, object] = {}
+
+
+def _compiled(spark: SparkSession):
+    """The UDF object; its classes go to the executors once an application."""
+    app = spark.sparkContext.applicationId
+    if app not in _ready:
+        jvm = spark._jvm
+        compiler = jvm.org.codehaus.janino.SimpleCompiler()
+        compiler.setParentClassLoader(jvm.java.lang.Thread.currentThread().getContextClassLoader())
+        with open(_SOURCE, encoding="utf-8") as f:
+            compiler.cook(f.read())
+        path = os.path.join(tempfile.mkdtemp(prefix="starling-jar-"), "walkers.jar")  # on the driver, which serves it to the executors
+        classes = compiler.getBytecodes()
+        with zipfile.ZipFile(path, "w") as z:
+            for name in classes:
+                z.writestr(name.replace(".", "/") + ".class", bytes(classes[name]))
+        spark.sql(f"ADD JAR '{path}'")
+        _ready[app] = compiler.getClassLoader().loadClass("starling.Walkers").getDeclaredConstructor(None).newInstance(None)
+    return _ready[app]
+
+
+def fit_column(spark: SparkSession, mode: str, c: int, weights: list[float], most: int, early: bool, p_grd: float, delta_v: float, deltap: float, max_iter: int, nodes: Column, classes: Column, src: Column, dst: Column, seed: Column) -> Column:
+    """``cls, dom, own, iterations, seconds`` of a fit; ``nodes`` ascending with their ``classes`` (-1: unknown), edges sorted by (src, dst).
+
+    The potential is looked at every CHECK_EVERY steps; more than ``most`` looks without a new best end the fit.
+    """
+    session = spark._jsparkSession
+    session.udf().register(NAME, _compiled(spark), session.parseDataType(_RESULT.json()))
+    settings = [float(mode == "sequential"), c, most, float(early), p_grd, delta_v, deltap, max_iter, CHECK_EVERY]
+    literal = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
+    return F.call_udf(NAME, nodes, classes, src, dst, seed, literal(settings), literal(weights))

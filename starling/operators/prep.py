@@ -70,6 +70,14 @@ def seed_mask_global(labels: DataFrame, fraction: float, seed: int) -> DataFrame
     return _masked(labels, smallest_keys(rows, "g", "h", quota))
 
 
+def seed_masks_global(labels: DataFrame, fraction: float, runs: int) -> DataFrame:
+    """``run, node_id, label``: the global masks of the seeds 0 to ``runs`` - 1, in one plan."""
+    each = labels.select("node_id", "label", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"))
+    quota = each.groupBy("run").agg(F.floor(F.count("*") * F.lit(float(fraction))).alias("take"))
+    chosen = smallest_keys(each.withColumn("h", hash_key(F.col("run"), F.col("node_id"))), "run", "h", quota).select("run", "node_id", F.lit(True).alias("_seed"))
+    return each.join(chosen, ["run", "node_id"], "left").select("run", "node_id", F.when(F.col("_seed"), F.col("label")).otherwise(F.lit(UNLABELLED)).alias("label"))
+
+
 def seed_mask_stratified(labels: DataFrame, fraction: float, seed: int) -> DataFrame:
     """round-half-even(fraction * size) nodes of each class keep their labels; the rest become -1."""
     rows = labels.select("node_id", "label", hash_key(F.lit(seed), F.col("node_id")).alias("h"))

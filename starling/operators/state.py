@@ -7,6 +7,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from starling.functions.storage import written
+
 #: Largest distance that is kept (distances are one unsigned byte in the model).
 FAR = 255
 
@@ -35,11 +37,14 @@ class State:
 def particles_init(coded: DataFrame) -> DataFrame:
     """One particle for each labelled node, numbered from 0 by ascending node; strength 1, at home.
 
-    The numbering window sees labelled nodes only.
+    Nodes are dealt into ranges, numbered within each, and the sizes of the ranges before are added.
     """
-    seeds = coded.where("cls <> -1")
-    pid = (F.row_number().over(Window.orderBy("node_id")) - 1).cast("long")
-    return seeds.select(pid.alias("pid"), F.col("node_id").alias("home"), F.col("node_id").alias("cur"), "cls", F.lit(1.0).alias("strength"))
+    dealt = coded.where("cls <> -1").select("node_id", "cls").repartitionByRange("node_id").withColumn("part", F.spark_partition_id())
+    seeds = written(dealt, "seeds")
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))  # one row a range
+    sizes = seeds.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    pid = F.row_number().over(Window.partitionBy("part").orderBy("node_id")) - 1 + F.col("before")
+    return seeds.join(sizes, "part").select(pid.cast("long").alias("pid"), F.col("node_id").alias("home"), F.col("node_id").alias("cur"), "cls", F.lit(1.0).alias("strength"))
 
 
 def nodes_init(coded: DataFrame, c: int) -> DataFrame:

@@ -14,11 +14,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from starling.functions.draws import uniform
-from starling.functions.folds import fold_sum, running_sums
+from starling.functions.draws import PURPOSES, uniform
+from starling.functions.folds import fold_sum
 from starling.operators.state import State, distance_weights
 
 
@@ -32,7 +32,7 @@ class Params:
 
 
 def draw(params: Params, it: int, purpose: str) -> Column:
-    return uniform(F.lit(params.seed), F.lit(it), F.col("pid"), F.lit(purpose))
+    return uniform(F.lit(params.seed), F.lit(it), F.col("pid"), F.lit(PURPOSES[purpose]))
 
 
 def mode_draw(s: State, params: Params, it: int) -> DataFrame:
@@ -53,9 +53,9 @@ def greedy_weights(s: State, params: Params, it: int) -> DataFrame:
 
 def cumulative_slices(weights: DataFrame) -> DataFrame:
     """``pid, nbs, slices, total``: running sums of the weights in neighbour order."""
-    rows = weights.groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("pos", "nb", "w"))).alias("a"))
-    rows = rows.select("pid", F.col("a.nb").alias("nbs"), running_sums(F.col("a.w")).alias("slices"))
-    return rows.withColumn("total", F.element_at("slices", -1))
+    in_order = Window.partitionBy("pid").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = weights.withColumn("slice", F.sum("w").over(in_order)).groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("pos", "nb", "slice"))).alias("a"))
+    return rows.select("pid", F.col("a.nb").alias("nbs"), F.col("a.slice").alias("slices"), F.element_at("a.slice", -1).alias("total"))
 
 
 def roulette_pick(slices: DataFrame, params: Params, it: int) -> DataFrame:

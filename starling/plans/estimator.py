@@ -2,29 +2,29 @@
 
 from __future__ import annotations
 
-import time
 import warnings
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from starling.functions.draws import XORSHIFT_SEED
-from starling.functions.kernels import Stop, fit_batch, fit_sequential
-from starling.functions.storage import prepare, written
+from starling.functions.kernels import CHECK_EVERY, fit_column
+from starling.functions.storage import written
 from starling.operators import graph, prep, state, step
 from starling.sources.tables import UNLABELLED, ready_graph
 
 MODES = ("auto", "sequential", "batch", "steps")
 
+#: Largest graph for a fit in one task: its edges are broadcast as one row of 16 bytes an edge.
+MAX_EDGES = 20_000_000
+
 
 class GraphLabeler:
     """Spreads a few known labels over a graph by competing and cooperating particles.
 
     ``mode``: "sequential" (particles move one by one; the default, "auto"), "batch" (all at
-    once, as array operations in a task), or "steps" (each step is a DataFrame plan, for
+    once), both in one task; or "steps" ("batch" with each step as a DataFrame plan, for
     graphs that fit no task, with a small ``max_iter``).
     """
 
@@ -63,6 +63,8 @@ class GraphLabeler:
         """
         if self.edges is None:
             raise ValueError("build_graph or set_graph comes before fit_predict")
+        if labels.groupBy("node_id").count().where("count > 1").limit(1).count():
+            raise ValueError("a node has more than one row of labels")
         known = self.nodes.join(labels, "node_id", "left").select("node_id", F.coalesce("label", F.lit(UNLABELLED)).alias("label"))
         self.classes = written(prep.class_dictionary(known), "classes")
         c = self.classes.count()
@@ -82,61 +84,45 @@ class GraphLabeler:
     def _by_steps(self, coded, c, n, most, p_grd, delta_v, deltap, dexp, max_iter, early_stop) -> DataFrame:
         params = step.Params(float(p_grd), float(delta_v), float(deltap), float(dexp), 1 if self.seed is None else self.seed)
         s = state.initial_state(written(graph.neighbor_lists(self.edges), "adjacency"), coded, c, n)
-        s, stop, it = s.mapped(written), Stop(most, early_stop), -1
+        s, it, best, idle = s.mapped(written), -1, 0.0, 0
         for it in range(max_iter):
             s = step.superstep(s, params, it).mapped(written)  # each step's tables end the lineage
-            if early_stop and it % 10 == 0 and stop(it, [[step.mean_max_potential(s.nodes).first()[0]]]):
-                break
+            if early_stop and it % CHECK_EVERY == 0:
+                potential = step.mean_max_potential(s.nodes).first()[0]
+                best, idle = (potential, 0) if potential > best else (best, idle + 1)
+                if idle > most:
+                    break
         hard = step.hard_labels(s.nodes)
         return s.nodes.select("node_id", "dom").join(hard, "node_id").join(step.owndeg_normalize(s.nodes), "node_id").select("node_id", "cls", "dom", "own", F.lit(it + 1).alias("iterations"))
 
 
-RESULT = "run int, node_id long, cls int, dom array<double>, own array<double>, iterations int, seconds double"
-
-
 def fit_runs(edges: DataFrame, coded: DataFrame, c: int, seeds: dict[int, int | None], mode: str, most: int, p_grd: float = 0.5, delta_v: float = 0.1, deltap: float = 1.0, dexp: float = 2.0, max_iter: int = 500_000, early_stop: bool = True) -> DataFrame:
-    """Several fits on one graph side by side; ``coded`` has ``run, node_id, cls`` of every node.
+    """Several fits on one graph side by side, one task each; ``coded`` has ``run, node_id, cls`` of every node.
 
-    A run is one task, which gets its labels and the graph's edges (a graph whose fit
-    is to converge has to fit in one task; a larger one takes mode "steps").
+    ``run, node_id, cls, dom, own, iterations, seconds``.  A graph whose fit is to converge has to fit in
+    one task: more than MAX_EDGES edges are an error (mode "steps" takes any number).
     """
-    prepare(edges.sparkSession)
-    kernel = fit_batch if mode == "batch" else fit_sequential
-    weights = state.distance_weights(float(dexp))
-
-    def one(run: int, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values("a")
-        ids, cls = left["a"].to_numpy(), left["b"].to_numpy(np.int64)
-        src, dst = np.searchsorted(ids, right["a"].to_numpy()), np.searchsorted(ids, right["b"].to_numpy())
-        order = np.lexsort((dst, src))
-        begin = np.concatenate([[0], np.cumsum(np.bincount(src, minlength=len(ids)))])
-        seed = seeds.get(run)
-        seed = (XORSHIFT_SEED if mode == "sequential" else 1) if seed is None else seed
-        t = time.perf_counter()
-        fit = kernel(begin, dst[order], cls, c, weights, Stop(most, early_stop), float(p_grd), float(delta_v), float(deltap), int(max_iter), seed)
-        took = time.perf_counter() - t
-        return pd.DataFrame({"run": np.int32(run), "node_id": ids, "cls": fit.labels(cls).astype(np.int32), "dom": list(fit.dominance), "own": list(fit.own_shares()), "iterations": np.int32(fit.iterations), "seconds": took})
-
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = list(batches)
-        for place, part in pd.concat(rows).groupby("place") if rows else ():
-            yield one(order[place], part[part["node"]], part[~part["node"]])
-
-    # a place of its own for each run, so that neither hashing nor coalescing puts fits behind each other
+    spark = edges.sparkSession
+    if edges.count() > MAX_EDGES:
+        raise ValueError(f"more than {MAX_EDGES} edges; mode 'steps' takes any number")
     order = sorted(seeds)
-    place = F.create_map(*[x for k, run in enumerate(order) for x in (F.lit(run), F.lit(k))])
-    nodes = coded.select(place[F.col("run")].alias("place"), F.lit(True).alias("node"), F.col("node_id").alias("a"), F.col("cls").cast("long").alias("b"))
-    lines = edges.select(F.explode(F.sequence(F.lit(0), F.lit(len(order) - 1))).alias("place"), F.lit(False).alias("node"), F.col("src").alias("a"), F.col("dst").alias("b"))
-    return nodes.union(lines).repartitionById(len(order), F.col("place")).mapInPandas(each, RESULT)
+    usual = XORSHIFT_SEED if mode == "sequential" else 1
+    at = lambda values: F.create_map(*[F.lit(x) for run, v in zip(order, values) for x in (run, v)])[F.col("run")]
+    every = F.array_sort(F.collect_list(F.struct("node_id", F.col("cls").cast("long").alias("cls"))))
+    runs = coded.groupBy("run").agg(every.alias("v")).select("run", "v", at([usual if seeds[r] is None else seeds[r] for r in order]).cast("long").alias("seed"))
+    # a place of its own for each run, so that neither hashing nor coalescing puts fits behind each other
+    runs = runs.withColumn("place", at(list(range(len(order))))).repartitionById(len(order), F.col("place"))
+    graph_row = edges.agg(F.array_sort(F.collect_list(F.struct("src", "dst"))).alias("e"))  # one row of a checked size
+    fit = fit_column(spark, mode, c, state.distance_weights(float(dexp)), most, early_stop, float(p_grd), float(delta_v), float(deltap), max_iter, F.col("v.node_id"), F.col("v.cls"), F.col("e.src"), F.col("e.dst"), F.col("seed"))
+    done = runs.join(F.broadcast(graph_row)).select("run", F.col("v.node_id").alias("ids"), fit.alias("f"))
+    rows = done.select("run", "f.iterations", "f.seconds", F.inline(F.arrays_zip(F.col("ids").alias("node_id"), F.col("f.cls").alias("cls"), F.col("f.dom").alias("dom"), F.col("f.own").alias("own"))))
+    return rows.select(F.col("run").cast("int").alias("run"), "node_id", "cls", "dom", "own", "iterations", "seconds")
 
 
 def repeated_runs(edges: DataFrame, truth: DataFrame, k_nn: int, n_runs: int = 10, fraction: float = 0.1, mode: str = "batch", es_chk: int = 2000, **params) -> DataFrame:
     """``run, accuracy, seconds, iterations`` of fits with different seed masks, all at once; ``truth``: ``node_id, label``."""
     classes = prep.class_dictionary(truth)
-    masks = None
-    for r in range(n_runs):
-        m = prep.seed_mask_global(truth, fraction, r).withColumn("run", F.lit(r))
-        masks = m if masks is None else masks.union(m)
+    masks = prep.seed_masks_global(truth, fraction, n_runs)
     coded = masks.join(classes, "label", "left").select("run", "node_id", F.coalesce("idx", F.lit(-1)).alias("cls"))
     n = truth.count()
     most = state.stop_threshold(n, max(1, int(n * fraction)), k_nn, es_chk)

@@ -6,10 +6,9 @@ import numpy as np
 import pytest
 
 from starling.functions.draws import XORSHIFT_SEED, xorshift32
-from starling.functions.kernels import Stop, fit_batch, fit_sequential
 from starling.operators import graph, prep, state, step
 from starling.plans import queries
-from starling.plans.estimator import GraphLabeler, repeated_runs
+from starling.plans.estimator import GraphLabeler, fit_runs, repeated_runs
 from starling.sources import tables
 
 
@@ -89,37 +88,71 @@ def test_xorshift_known_numbers(spark):
     assert seen == [2714967881, 2238813396, 1250077441, 3820100336, 3177519686]
 
 
+def fit(spark, n, pairs, cls, c, mode, iterations, **more):
+    """Classes, dominance and own shares of nodes 0 to n - 1."""
+    edges = graph.edge_graph(spark.createDataFrame(pairs, "src long, dst long"))
+    coded = spark.createDataFrame([(0, i, int(k)) for i, k in enumerate(cls)], "run int, node_id long, cls int")
+    rows = fit_runs(edges, coded, c, {0: None}, mode, 1, max_iter=iterations, early_stop=False, **more).orderBy("node_id").collect()
+    assert [r.node_id for r in rows] == list(range(n)) and {r.iterations for r in rows} == {iterations}
+    return [r.cls for r in rows], np.array([r.dom for r in rows]), np.array([r.own for r in rows])
+
+
 @pytest.mark.parametrize("seed", range(6))
-def test_sequential_equals_plain_rules(seed):
+def test_sequential_equals_plain_rules(spark, seed):
     r = random.Random(seed)
     n, c = r.randint(5, 25), r.randint(2, 4)
     pairs = [(r.randrange(n), r.randrange(n)) for _ in range(3 * n)]
     cls = np.array([r.choice([-1, -1, r.randrange(c)]) for _ in range(n)])
     cls[:c] = range(c)
-    fit = fit_sequential(*csr(n, pairs), cls, c, state.distance_weights(), Stop(1, False), max_iter=60)
-    dom, own = plain_sequential(n, pairs, cls, c, 60)
-    assert np.array_equal(fit.dominance, dom) and np.array_equal(fit.own, own)
-
-
-@pytest.mark.parametrize("kernel", [fit_sequential, fit_batch])
-def test_invariants(kernel):
+    hard, dom, own = fit(spark, n, pairs, cls, c, "sequential", 60)
+    want, visits = plain_sequential(n, pairs, cls, c, 60)
+    total = np.cumsum(visits, axis=1)[:, -1:]
+    assert np.array_equal(dom, want) and np.array_equal(own, visits / np.where(total == 0, 1, total))
+    assert hard == np.where(cls == -1, want.argmax(1), cls).tolist()
+
+
+@pytest.mark.parametrize("deltap", [1.0, 0.5])
+def test_batch_equals_the_steps_of_the_plan(spark, deltap):
+    """The kernel and the DataFrame operators: the same bits, isolated nodes and labelled neighbours included."""
+    r = random.Random(8)
+    n, c = 30, 3
+    pairs = [(r.randrange(n - 2), r.randrange(n - 2)) for _ in range(40)]
+    lab = spark.createDataFrame([(i, i % c) for i in [*range(0, n, 4), n - 1]], "node_id long, label long")
+    nodes = spark.createDataFrame([(i,) for i in range(n)], "node_id long")
+    got = []
+    for mode in ("batch", "steps"):
+        model = GraphLabeler(mode, seed=5).set_graph(frame(spark, pairs), nodes, 4)
+        model.fit_predict(lab, deltap=deltap, delta_v=0.9, max_iter=2, early_stop=False)
+        got.append({x.node_id: (x.cls, x.dom, x.own, x.iterations) for x in model.result.collect()})
+    assert got[0] == got[1] and any(min(x[1]) < 0 for x in got[0].values())
+
+
+@pytest.mark.parametrize("mode", ["sequential", "batch"])
+def test_invariants(spark, mode):
     r = random.Random(3)
-    n, c = 40, 3
-    pairs = [(r.randrange(n), r.randrange(n)) for _ in range(120)]
+    n, c = 600, 3  # more than one page of distances
+    pairs = [(r.randrange(n), r.randrange(n)) for _ in range(1800)]
     cls = np.array([i if i < c else -1 for i in range(n)])
-    fit = kernel(*csr(n, pairs), cls, c, state.distance_weights(), Stop(1, False), max_iter=200)
-    assert np.allclose(fit.dominance.sum(1), 1)
-    assert np.array_equal(fit.dominance[:c], np.eye(c))
-    if kernel is fit_sequential:
-        assert (fit.dominance >= 0).all()
-    assert np.allclose(np.where(fit.own.sum(1) > 0, fit.own_shares().sum(1), 1), 1)
+    _, dom, own = fit(spark, n, pairs, cls, c, mode, 200)
+    assert np.allclose(dom.sum(1), 1)
+    assert np.array_equal(dom[:c], np.eye(c))
+    if mode == "sequential":
+        assert (dom >= 0).all()
+    assert np.allclose(np.where(own.sum(1) > 0, own.sum(1), 1), 1)
+
+
+def test_two_labelled_neighbours_refuse_each_other(spark):
+    for mode in ("sequential", "batch"):
+        _, dom, own = fit(spark, 2, [(0, 1)], [0, 1], 2, mode, 20)
+        assert np.array_equal(dom, np.eye(2)) and not own.any()
 
 
-def test_two_labelled_neighbours_refuse_each_other():
-    begin, flat = csr(2, [(0, 1)])
-    for kernel in (fit_sequential, fit_batch):
-        fit = kernel(begin, flat, np.array([0, 1]), 2, state.distance_weights(), Stop(1, False), max_iter=20)
-        assert np.array_equal(fit.dominance, np.eye(2)) and not fit.own.any()
+def test_fits_refuse_odd_input(spark):
+    lab = spark.createDataFrame([(0, 1), (0, 2), (1, 1)], "node_id long, label long")
+    with pytest.raises(ValueError):
+        GraphLabeler().set_graph(frame(spark, [(0, 1)])).fit_predict(lab)
+    with pytest.raises(Exception, match="no node"):
+        fit(spark, 2, [(0, 9)], [0, 1], 2, "batch", 1)
 
 
 def test_batch_collisions_add_up_below_zero(spark):
@@ -171,16 +204,25 @@ def test_component_without_seeds_gets_the_smallest_class(spark):
     edges = frame(spark, [(0, 1), (1, 2), (10, 11)])
     lab = spark.createDataFrame([(0, 5), (2, 7)], "node_id long, label long")
     for mode in ("sequential", "batch", "steps"):
-        out = {r.node_id: r.label for r in GraphLabeler(mode).set_graph(edges).fit_predict(lab, max_iter=3, early_stop=False).collect()}
+        out = {r.node_id: r.label for r in GraphLabeler(mode).set_graph(edges).fit_predict(lab, max_iter=2, early_stop=False).collect()}
         assert out[0] == 5 and out[2] == 7 and out[10] == out[11] == 5
 
 
-def test_long_path_caps_distance():
+def test_long_path_caps_distance(spark):
     n = 300
-    begin, flat = csr(n, [(i, i + 1) for i in range(n - 1)])
     cls = np.full(n, -1)
     cls[0], cls[-1] = 0, 1
-    assert fit_sequential(begin, flat, cls, 2, state.distance_weights(), Stop(1, False), max_iter=500).dominance.shape == (n, 2)
+    pairs = [(i, i + 1) for i in range(n - 1)]
+    want, _ = plain_sequential(n, pairs, cls, 2, 500)
+    assert np.array_equal(fit(spark, n, pairs, cls, 2, "sequential", 500)[1], want)
+
+
+def test_masks_of_many_runs(spark):
+    lab = spark.createDataFrame([(i, i % 3) for i in range(101)], "node_id long, label long")
+    many = {(r.run, r.node_id): r.label for r in prep.seed_masks_global(lab, 0.1, 4).collect()}
+    for run in range(4):
+        one = {(run, r.node_id): r.label for r in prep.seed_mask_global(lab, 0.1, run).collect()}
+        assert one == {k: v for k, v in many.items() if k[0] == run} and sum(v >= 0 for v in one.values()) == 10
 
 
 def test_edge_graph_drops_loops_and_repeats(spark):
