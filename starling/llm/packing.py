@@ -1,19 +1,25 @@
 """Packing of documents into fixed windows by lexical retrieval.
 
-Documents are tokenized, each followed by an end id.  A partition's documents
-form shards of consecutive documents (``SHARD_BYTES`` of text or
-``SHARD_DOCS`` documents, a bound of a task's memory whatever the partition).
-Each shard gets a BM25 inverted index over its token ids.  A window starts with
-a seed document; the index ranks the unused documents by their score for all
-of the seed's terms, and they fill the window one after the other.  A
+Documents are tokenized once, each followed by an end id, and written to the shared
+folder.  One pass over that table takes the corpus statistics: in how many documents each
+term (token id) is, and the mean length; at most one row for each id of the tokenizer
+comes to the driver.  Documents are then routed by content: a document's key is made of the
+least hashes of its ``RARE`` largest ids (merges learned last, so rare ones), which similar
+documents mostly share.  Partitions are formed by the key's first hash and sorted by the whole
+key; Spark sizes them, and splits those that a hot key makes too large.  Consecutive
+documents form shards (``SHARD_TOKENS`` or ``SHARD_DOCS``, a bound of a task's memory
+whatever the partition).
+
+Each shard gets a BM25 inverted index over its token ids, with the statistics of the
+corpus.  A window starts with a seed document; the index ranks the unused documents by their
+score for all of the seed's terms, and they fill the window one after the other.  A
 document that doesn't fit is cut at the window's end, and its rest seeds the
 next window, so only the last window of a shard can need padding.  Without any
 neighbour left the next unused document in order is taken.  A document longer
 than a window fills windows of its own first.
 
-There is no shuffle: a shard is what a task reads anyway, and a third of all
-rows from one source are simply more shards.  Windows are the same whenever a
-lost task runs again, as its input is the same.
+A seed sees the documents of its shard only, so what lies in other shards isn't found (README has figures).
+Windows are the same whenever a lost task runs again, as its rows are sorted.
 
 Defined results: null and empty texts are the end id alone.  Every id lies in
 exactly one piece.  A window's pieces lie without gaps from offset 0.  Window
@@ -34,9 +40,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starling.llm.common import pick, prepare
+from starling.llm.common import pick, prepare, settle
 
-SHARD_BYTES, SHARD_DOCS = 8 << 20, 60_000
+SHARD_TOKENS, SHARD_DOCS = 2 << 20, 60_000
+RARE, KEY = 16, 4  # of so many largest ids so many least hashes
 K1, B = 1.2, 0.75
 NEIGHBOURS = 16  # so many of a ranking are sorted at a time
 
@@ -95,10 +102,21 @@ def tokenizer(path: str) -> Ids:
     return Ids(path)
 
 
+class Corpus:
+    """Statistics of all documents: inverse document frequencies of terms, and the mean length."""
+
+    def __init__(self, documents: int, tokens: int, df: np.ndarray):
+        self.idf = np.log1p((documents - df + 0.5) / (df + 0.5)).astype(np.float32)
+        self.mean = max(tokens / max(documents, 1), 1e-9)
+
+
 class Bm25:
-    """Inverted index of a shard: postings by term, with their scores worked out."""
+    """Inverted index of a shard: postings by term, with their scores worked out.
+
+    ``corpus`` has the statistics of all documents; without, they are taken from ``docs``.
+    """
 
-    def __init__(self, docs: list[np.ndarray]):
+    def __init__(self, docs: list[np.ndarray], corpus: Corpus | None = None):
         n = len(docs)
         self.n = n
         sizes = np.array([len(d) for d in docs])
@@ -113,8 +131,9 @@ class Bm25:
         key = key[first]
         doc, term = (key >> shift).astype(np.int32), (key & ((key.dtype.type(1) << shift) - key.dtype.type(1))).astype(np.int32)
         df = np.bincount(term, minlength=terms)
-        self.idf = np.where(df > 1, np.log1p((n - df + 0.5) / (df + 0.5)), 0).astype(np.float32)  # a term of one document finds no other
-        norm = K1 * (1 - B + B * sizes / max(sizes.mean(), 1e-9))
+        corpus = corpus or Corpus(n, int(sizes.sum()), df)
+        self.idf = np.where(df > 1, corpus.idf[:terms], 0).astype(np.float32)  # a term of one document of the shard finds no other
+        norm = K1 * (1 - B + B * sizes / corpus.mean)
         score = self.idf[term] * tf * (K1 + 1) / (tf + norm[doc].astype(np.float32))
         self.doc_begin = np.searchsorted(doc, np.arange(n + 1))
         self.term = term
@@ -151,9 +170,9 @@ class Bm25:
             left, k = left[score < least], 2 * k
 
 
-def fill_windows(docs: list[np.ndarray], size: int) -> list[tuple[int, int, int, int, int]]:
+def fill_windows(docs: list[np.ndarray], size: int, corpus: Corpus | None = None) -> list[tuple[int, int, int, int, int]]:
     """(document, start, length, window, offset) of each piece; ``docs`` are all non-empty."""
-    index = Bm25(docs)
+    index = Bm25(docs, corpus)
     used = np.zeros(len(docs), bool)
     out: list[tuple[int, int, int, int, int]] = []
     window, at, next_unused = 0, 0, 0
@@ -190,18 +209,62 @@ def fill_windows(docs: list[np.ndarray], size: int) -> list[tuple[int, int, int,
     return out
 
 
+def route(ids: np.ndarray) -> bytes:
+    """A document's key: the least hashes of its largest ids, in ascending order."""
+    rare = np.unique(ids)[-RARE:].astype(np.uint64)
+    return np.sort((rare * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32))[:KEY].astype(">u4").tobytes()
+
+
+def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
+    """``_id, head, key, ids`` of ``docs`` (``_id, t``): ids in little-endian words, and where the document belongs."""
+    kind = docs.schema["_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = tokenizer(tokenizer_path)
+        for b in batches:
+            for k in range(0, len(b), 1024):
+                part = b.slice(k, 1024)
+                ids = [np.append(encode(t.as_buffer().to_pybytes()), np.uint32(end_id)).astype("<u4") for t in part.column(1)]
+                keys = [route(x) for x in ids]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([int.from_bytes(x[:4], "big") for x in keys], pa.int64()), pa.array(keys, pa.binary()), pa.array([x.tobytes() for x in ids], pa.binary())], names=["_id", "head", "key", "ids"])
+
+    return docs.mapInArrow(run, f"_id {kind}, head long, key binary, ids binary")
+
+
+def corpus(tokens: DataFrame) -> Corpus:
+    """Statistics of all documents; combined in each task, then one row for each token id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df, documents, n = np.zeros(0, np.int64), 0, 0
+        for b in batches:
+            for x in b.column(0):
+                terms = np.unique(np.frombuffer(x.as_buffer(), "<u4"))
+                if len(terms) and terms[-1] >= len(df):
+                    df = np.concatenate([df, np.zeros(int(terms[-1]) + 1 - len(df), np.int64)])
+                df[terms] += 1
+                documents, n = documents + 1, n + len(x.as_buffer()) // 4
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-2, -1], at])), pa.array(np.concatenate([[documents, n], df[at]]))], names=["term", "n"])
+
+    rows = {r.term: r.n for r in tokens.select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    documents, n = rows.pop(-2, 0), rows.pop(-1, 0)
+    df = np.zeros(max(rows, default=0) + 1, np.int64)
+    df[list(rows)] = list(rows.values())
+    return Corpus(documents, n, df)
+
+
 def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = 2048, end_id: int = 1) -> DataFrame:
     """One row per piece: ``id_col, start, length, doc_tokens, sequence_id, offset, ids`` (little-endian unsigned 32-bit)."""
     prepare(docs.sparkSession)
     d = pick(docs, _id=id_col, _text=text_col).select("_id", F.coalesce(F.col("_text"), F.lit("")).cast("binary").alias("t"))
     kind = d.schema["_id"].dataType.simpleString()
+    tokens = settle(tokenized(d, tokenizer_path, end_id), "tokens")
+    stats = corpus(tokens)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(tokenizer_path)
         base, window = TaskContext.get().partitionId() << 33, 0
-        for names, texts in _shards(batches):
-            ids = [np.append(encode(t), np.uint32(end_id)).astype("<u4") for t in texts]
-            pieces = fill_windows(ids, size)
+        for names, ids in _shards(batches):
+            pieces = fill_windows(ids, size, stats)
             for k in range(0, len(pieces), 4096):
                 p = pieces[k : k + 4096]
                 d, start, length, seq, offset = (np.array(x, dtype=np.int64) for x in zip(*p))
@@ -211,24 +274,25 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
                 )
             window += int(pieces[-1][3]) + 1
 
-    return d.mapInArrow(run, f"_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary").withColumnRenamed("_id", id_col)
+    routed = tokens.hint("rebalance", "head").sortWithinPartitions("key", F.xxhash64("_id"), "ids").select("_id", "ids")
+    return routed.mapInArrow(run, f"_id {kind}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary").withColumnRenamed("_id", id_col)
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[bytes]]]:
-    """Ids and texts of the partition's documents, a shard at a time."""
-    names, texts, size = [], [], 0
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[np.ndarray]]]:
+    """Names and token ids of the partition's documents, a shard at a time."""
+    names, ids, size = [], [], 0
     for b in batches:
         begin = 0
-        for i, t in enumerate(b.column(1).to_pylist()):
-            texts.append(t)
-            size += len(t)
-            if size >= SHARD_BYTES or len(texts) >= SHARD_DOCS:
+        for i, x in enumerate(b.column(1)):
+            ids.append(np.frombuffer(x.as_buffer().to_pybytes(), "<u4"))
+            size += len(ids[-1])
+            if size >= SHARD_TOKENS or len(ids) >= SHARD_DOCS:
                 names.append(b.column(0).slice(begin, i + 1 - begin))
-                yield pa.concat_arrays(names), texts
-                names, texts, size, begin = [], [], 0, i + 1
+                yield pa.concat_arrays(names), ids
+                names, ids, size, begin = [], [], 0, i + 1
         names.append(b.column(0).slice(begin))
-    if texts:
-        yield pa.concat_arrays(names), texts
+    if ids:
+        yield pa.concat_arrays(names), ids
 
 
 def op3_packing(spark, sf_dir: str) -> DataFrame:

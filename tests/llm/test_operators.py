@@ -203,6 +203,25 @@ def test_windows_follow_the_whole_ranking():
     assert len(first) > 20 and first == [0, *want[: len(first) - 1]]
 
 
+def test_corpus_statistics_and_routes(spark, monkeypatch):
+    """Document frequencies and mean length of the whole table; copies and near copies meet whatever lies between them."""
+    r = random.Random(9)
+    texts = [" ".join(f"{r.choice('bcdfg')}{r.randrange(900)}" for _ in range(60)) for _ in range(300)]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(1000 + k, f"{t} {k}") for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    encode = packing.tokenizer(str(BYTES))
+    ids = {i: np.append(encode(t.encode()), np.uint32(1)) for i, t in rows}
+    tokens = packing.tokenized(docs.selectExpr("doc_id AS _id", "cast(text AS binary) AS t"), str(BYTES), 1)
+    stats, df = packing.corpus(tokens), Counter(t for x in ids.values() for t in set(x.tolist()))
+    assert all(abs(stats.idf[t] - np.log1p((600 - n + 0.5) / (n + 0.5))) < 1e-5 for t, n in df.items()) and abs(stats.mean - np.mean([len(x) for x in ids.values()])) < 1e-9
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 20_000)  # the table is several shards
+    windows = defaultdict(set)
+    for x in packing.pack_documents(docs, str(BYTES)).collect():
+        windows[x.doc_id].add(x.sequence_id)
+    near = lambda k: any(abs(a - b) <= 1 for a in windows[k] for b in windows[1000 + k])  # noqa: E731  the same window or the next
+    assert sum(near(k) for k in range(300)) > 200
+
+
 def test_fast_ids_equal_the_library():
     from tokenizers import Tokenizer
 
