@@ -209,14 +209,35 @@ def fill_windows(docs: list[np.ndarray], size: int, corpus: Corpus | None = None
     return out
 
 
-def route(ids: np.ndarray) -> bytes:
-    """A document's key: the least hashes of its largest ids, in ascending order."""
-    rare = np.unique(ids)[-RARE:].astype(np.uint64)
-    return np.sort((rare * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32))[:KEY].astype(">u4").tobytes()
+def distinct_terms(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(document, term) of each document's distinct ids, ascending; ``docs`` are some thousands at most."""
+    key = np.repeat(np.arange(len(docs), dtype=np.uint64), [len(d) for d in docs]) << np.uint64(32) | np.concatenate(docs).astype(np.uint64)
+    key.sort()
+    key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+    return (key >> np.uint64(32)).astype(np.int64), key & np.uint64(0xFFFFFFFF)
+
+
+def routes(docs: list[np.ndarray]) -> np.ndarray:
+    """A row of words for each (non-empty) document: the least hashes of its largest ids, in ascending order, filled up with ones."""
+    doc, term = distinct_terms(docs)
+    ends = np.searchsorted(doc, np.arange(len(docs)), side="right")
+    at = ends[:, None] - 1 - np.arange(RARE)
+    h = (term * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+    h = np.where((at >= 0) & (doc[np.maximum(at, 0)] == np.arange(len(docs))[:, None]), h[np.maximum(at, 0)], np.uint64(0xFFFFFFFF))
+    return np.sort(h, axis=1)[:, :KEY]
+
+
+def _pack(ids: np.ndarray) -> bytes:
+    """Ids in words of two or four bytes, and a last byte that says which."""
+    return ids.astype("<u2").tobytes() + b"2" if not len(ids) or ids.max() < 1 << 16 else ids.astype("<u4").tobytes() + b"4"
+
+
+def _unpack(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw[:-1], f"<u{raw[-1:].decode()}").astype("<u4")
 
 
 def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """``_id, head, key, ids`` of ``docs`` (``_id, t``): ids in little-endian words, and where the document belongs."""
+    """``_id, head, key, ids`` of ``docs`` (``_id, t``): packed ids, and where the document belongs."""
     kind = docs.schema["_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,8 +246,8 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
             for k in range(0, len(b), 1024):
                 part = b.slice(k, 1024)
                 ids = [np.append(encode(t.as_buffer().to_pybytes()), np.uint32(end_id)).astype("<u4") for t in part.column(1)]
-                keys = [route(x) for x in ids]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([int.from_bytes(x[:4], "big") for x in keys], pa.int64()), pa.array(keys, pa.binary()), pa.array([x.tobytes() for x in ids], pa.binary())], names=["_id", "head", "key", "ids"])
+                keys = routes(ids)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys[:, 0].astype(np.int64)), pa.array([x.tobytes() for x in keys.astype(">u4")], pa.binary()), pa.array([_pack(x) for x in ids], pa.binary())], names=["_id", "head", "key", "ids"])
 
     return docs.mapInArrow(run, f"_id {kind}, head long, key binary, ids binary")
 
@@ -237,12 +258,12 @@ def corpus(tokens: DataFrame) -> Corpus:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, documents, n = np.zeros(0, np.int64), 0, 0
         for b in batches:
-            for x in b.column(0):
-                terms = np.unique(np.frombuffer(x.as_buffer(), "<u4"))
-                if len(terms) and terms[-1] >= len(df):
-                    df = np.concatenate([df, np.zeros(int(terms[-1]) + 1 - len(df), np.int64)])
-                df[terms] += 1
-                documents, n = documents + 1, n + len(x.as_buffer()) // 4
+            for k in range(0, len(b), 1024):
+                ids = [_unpack(x.as_buffer().to_pybytes()) for x in b.column(0).slice(k, 1024)]
+                more = np.bincount(distinct_terms(ids)[1].astype(np.int64))
+                df, more = (df, more) if len(df) >= len(more) else (more, df)
+                df[: len(more)] += more
+                documents, n = documents + len(ids), n + sum(map(len, ids))
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-2, -1], at])), pa.array(np.concatenate([[documents, n], df[at]]))], names=["term", "n"])
 
@@ -284,7 +305,7 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[
     for b in batches:
         begin = 0
         for i, x in enumerate(b.column(1)):
-            ids.append(np.frombuffer(x.as_buffer().to_pybytes(), "<u4"))
+            ids.append(_unpack(x.as_buffer().to_pybytes()))
             size += len(ids[-1])
             if size >= SHARD_TOKENS or len(ids) >= SHARD_DOCS:
                 names.append(b.column(0).slice(begin, i + 1 - begin))
