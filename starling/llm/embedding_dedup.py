@@ -14,17 +14,21 @@ share it keeps, so nothing has to be removed afterwards.
 
 Equal vectors are one vector with a count from the start.  There are at most
 ``2 / width + 1`` strips in a block however many vectors there are; strips of more
-than ``CHUNK`` vectors are dealt into chunks, and each pair of chunks is a task of
-its own, so a strip with a third of all rows is many tasks of a bounded size.  A
-task returns sums of links and a star forest of them, never the pairs.
+than ``CHUNK`` vectors are dealt into chunks, which are written once to the shared
+folder (so a vector crosses the shuffle once for each block).  Each pair of chunks of
+the same or of neighbouring strips is a row of a table of its own, and the task that
+gets it reads both chunks by range; so a strip with a third of all rows is many tasks of
+a bounded size.  A task returns sums of links and a star forest of them, never the pairs.
 
 The comparisons grow with the square of what shares a strip; in directions
 without structure that is most of the vectors, for any exact join of this kind.
 
 Defined results: vectors that are null, of length zero, or hold null or
 non-finite components link with nothing; so do vectors of different dimensions,
-and rows with a null id.  Rows that repeat an id are linked as different
-vectors are, and share their component.  An empty table gives an empty result.
+and rows with a null id.  Each row counts the other rows that its own vector links
+with, so rows that repeat an id with different vectors can have different counts;
+what one of them reaches, all do: they share their component.  An empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -34,11 +38,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from starling.llm.common import parts, pick, prepare, settle
+from starling.llm.common import new_path, parts, pick, prepare, settle
 from starling.llm.components import components, roots
+from starling.llm.warc_zip import file_system
 
 BLOCK, CHUNK, ROWS, PAIRS = 16, 16384, 512, 1 << 16
 SLACK = 1e-9  # on shares, for rounding in the rotation; far below what it lets in
@@ -137,106 +143,121 @@ def _by_dim(b: pa.RecordBatch, at: int) -> Iterator[tuple[int, np.ndarray, np.nd
         yield dim, rows, _matrix(b.column(at).take(pa.array(rows)), dim)
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``id_col, n_links, component_id, kept`` of each row."""
-    spark = vectors.sparkSession
-    prepare(spark)
-    base = pick(vectors, id=id_col, v=vector_col)
-    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    base = base.withColumn("valid", F.coalesce(F.col("id").isNotNull() & finite, F.lit(False)))
-    valid = base.where("valid").select("id", "v")
-    # one vector for all equal ones; counted before the shuffle
-    groups = settle(valid.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "vectors")
+def _entry(dim: int) -> np.dtype:
+    """A vector as it is kept in a chunk's file."""
+    return np.dtype([("g", "<i8"), ("n", "<i8"), ("v", "<f8", (dim,))])
 
-    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[int, int, int], int] = {}
-        for b in batches:
-            for dim, _, v in _by_dim(b, 0):
-                s = strips(rotated(v.astype(np.float64)), cosine)
-                for k in range(s.shape[1]):
-                    for strip, n in zip(*(x.tolist() for x in np.unique(s[:, k], return_counts=True))):
-                        counts[dim, k, strip] = counts.get((dim, k, strip), 0) + n
-        rows = [(*k, n) for k, n in counts.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], names=["dim", "block", "strip", "n"])
-
-    # at most (blocks x strips) rows for each dimension
-    found = groups.select("v").mapInArrow(tally, "dim long, block long, strip long, n long").groupBy("dim", "block", "strip").agg(F.sum("n").alias("n")).collect()
-    chunks = {(r.dim, r.block, r.strip): -(-r.n // CHUNK) for r in found}
-    tasks: dict[tuple[int, int, int, int, int, int], int] = {}
-    for (dim, block, strip), n in sorted(chunks.items()):
-        for i in range(n):
-            for j in range(i, n):
-                tasks[dim, block, strip, i, strip, j] = len(tasks)
-            for j in range(chunks.get((dim, block, strip + 1), 0)):
-                tasks[dim, block, strip, i, strip + 1, j] = len(tasks)
-    kinds = {number: (key[0], key[1]) for key, number in tasks.items()}
-
-    def places(dim: int, block: int, strip: int, chunk: int) -> list[tuple[int, int]]:
-        """(task, side) of what a chunk takes part in."""
-        out = []
-        for j in range(chunks[dim, block, strip]):
-            i, k = min(chunk, j), max(chunk, j)
-            out.append((tasks[dim, block, strip, i, strip, k], int(chunk == k and i != k)))
-        out += [(tasks[dim, block, strip, chunk, strip + 1, j], 0) for j in range(chunks.get((dim, block, strip + 1), 0))]
-        out += [(tasks[dim, block, strip - 1, i, strip, chunk], 1) for i in range(chunks.get((dim, block, strip - 1), 0))]
-        return out
-
-    wide = np.float32 if valid.schema["v"].dataType.elementType.simpleString() == "float" else np.float64
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def write_chunks(groups: DataFrame, cosine: float, folder: str) -> DataFrame:
+    """A file for each chunk of each strip of each block, and a table of them: ``dim, block, strip, chunk, path, at, n``.
+
+    A vector crosses the shuffle once for each block.  A strip is split by a hash into as many keys as
+    it needs for chunks of about CHUNK vectors; its size comes from a count of all strips.
+    """
+    spark = groups.sparkSession
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            reps, n = b.column(1).to_numpy(), b.column(2).to_numpy()
             for dim, rows, v in _by_dim(b, 0):
                 s = strips(rotated(v.astype(np.float64)), cosine)
-                raw = np.ascontiguousarray(v, wide)
-                for k in range(s.shape[1]):
-                    for strip in np.unique(s[:, k]).tolist():
-                        own = np.flatnonzero(s[:, k] == strip)
-                        chunk = ((reps[rows[own]].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % chunks[dim, k, strip]
-                        for c in np.unique(chunk).tolist():
-                            at = own[chunk == c]
-                            data = pa.array([raw[i].tobytes() for i in at.tolist()], pa.binary())
-                            for task, side in places(dim, k, strip, c):
-                                m = len(at)
-                                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, task, np.int32)), pa.array(np.full(m, side, np.int8)), pa.array(reps[rows[at]]), pa.array(n[rows[at]]), data], names=["task", "side", "rep", "n", "raw"])
-
-    def solve(task: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(held).combine_chunks()
-        dim, block = kinds[task]
-        v = np.frombuffer(b"".join(t.column(4).to_pylist()), wide).reshape(-1, dim)
-        ids = t.column(2).to_numpy()
-        job = Task(block, cosine, v, ids, t.column(3).to_numpy(), t.column(1).to_numpy())
-        job.run()
-        own = np.flatnonzero((job.links > 0) | (job.label != np.arange(len(ids))))
-        return pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(job.links[own]), pa.array(ids[job.label[own]])], names=["rep", "links", "root"])
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, task = [], None
+                m, nb = s.shape
+                part = b.take(pa.array(np.tile(rows, nb)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m * nb, dim, np.int32)), pa.array(np.repeat(np.arange(nb, dtype=np.int32), m)), pa.array(s.T.reshape(-1)), part.column(1)], names=["dim", "block", "strip", "g"])
+
+    where = groups.select("v", "g").mapInArrow(place, "dim int, block int, strip long, g long")
+    sizes = settle(where.groupBy("dim", "block", "strip").agg(F.count("*").alias("m")), "strips", small=True)  # at most (blocks x strips) rows for each dimension
+    many = F.ceil(F.col("m") / CHUNK)
+    dealt = where.join(F.broadcast(sizes), ["dim", "block", "strip"]).select("dim", "block", "strip", F.pmod(F.xxhash64("g"), many).cast("int").alias("chunk"), "g")
+    rows = dealt.join(groups.select("g", "n", "v"), "g").select("dim", "block", "strip", "chunk", "g", "n", "v")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        path, out, at = f"chunks-{task.partitionId():06d}-{task.taskAttemptId()}", None, 0
+        done, last, begin, held = [], None, 0, 0
         for b in batches:
-            numbers = b.column(0).to_numpy()
-            cuts = np.flatnonzero(np.diff(numbers)) + 1
-            for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(numbers)]):
+            if out is None:
+                fs, root = file_system(folder)
+                fs.create_dir(root, recursive=True)
+                out = fs.open_output_stream(f"{root}/{path}")
+            keys = list(zip(*(c.to_pylist() for c in b.columns[:4])))
+            cuts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
+            for x, y in zip(cuts, cuts[1:]):
                 if x == y:
                     continue
-                if numbers[x] != task and held:
-                    yield solve(task, held)
-                    held = []
-                task = int(numbers[x])
-                held.append(b.slice(x, y - x))
-        if held:
-            yield solve(task, held)
-
-    dealt = groups.select("v", "rep", "n").mapInArrow(deal, "task int, side byte, rep long, n long, raw binary")
-    dealt = dealt.repartition(max(parts(spark), min(len(tasks), 4096)), "task").sortWithinPartitions("task")
-    found = settle(dealt.mapInArrow(join, "rep long, links long, root long"), "vector-links")
-    label = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")), found.count()).withColumnRenamed("node", "rep")
-    sums = found.groupBy("rep").agg(F.sum("links").alias("links"))
+                if keys[x] != last:
+                    if last is not None:
+                        done.append((*last, path, begin, held))
+                    last, begin, held = keys[x], at, 0
+                e = np.empty(y - x, _entry(last[0]))
+                e["g"], e["n"], e["v"] = b.column(4).slice(x, y - x).to_numpy(), b.column(5).slice(x, y - x).to_numpy(), _matrix(b.column(6).slice(x, y - x), last[0])
+                out.write(e.tobytes())
+                at, held = at + e.nbytes, held + len(e)
+        if last is not None:
+            done.append((*last, path, begin, held))
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in done], t) for k, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64()))], names=["dim", "block", "strip", "chunk", "path", "at", "n"])
+
+    sorted_ = rows.repartition("dim", "block", "strip", "chunk").sortWithinPartitions("dim", "block", "strip", "chunk", "g")
+    return settle(sorted_.mapInArrow(write, "dim int, block int, strip long, chunk int, path string, at long, n long"), "chunks", small=True)
+
+
+def chunk_links(chunks: DataFrame, cosine: float, folder: str) -> DataFrame:
+    """``g, links, root`` of the vectors that link in some pair of chunks: each a task's row, which reads both chunks by range."""
+    spark = chunks.sparkSession
+    other = chunks.select("dim", "block", F.col("strip").alias("strip_b"), F.col("chunk").alias("chunk_b"), F.col("path").alias("path_b"), F.col("at").alias("at_b"), F.col("n").alias("n_b"))
+    same = chunks.join(other.withColumn("strip", F.col("strip_b")), ["dim", "block", "strip"]).where("chunk <= chunk_b")
+    following = chunks.join(other.withColumn("strip", F.col("strip_b") - 1), ["dim", "block", "strip"])
+    columns = ["dim", "block", "path", "at", "n", "path_b", "at_b", "n_b", ((F.col("strip") == F.col("strip_b")) & (F.col("chunk") == F.col("chunk_b"))).alias("own")]
+    pairs = same.select(*columns).union(following.select(*columns))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = file_system(folder)
+
+        def read(dim: int, path: str, at: int, n: int) -> np.ndarray:
+            with fs.open_input_file(f"{root}/{path}") as f:
+                f.seek(at)
+                return np.frombuffer(f.read(n * _entry(dim).itemsize), _entry(dim))
+
+        for b in batches:
+            for dim, block, path, at, n, path_b, at_b, n_b, own in zip(*(c.to_pylist() for c in b.columns)):
+                e = read(dim, path, at, n)
+                e = e if own else np.concatenate([e, read(dim, path_b, at_b, n_b)])
+                side = (np.arange(len(e)) >= n).astype(np.int8)
+                job = Task(block, cosine, e["v"], e["g"], e["n"], side)
+                job.run()
+                found = np.flatnonzero((job.links > 0) | (job.label != np.arange(len(e))))
+                yield pa.RecordBatch.from_arrays([pa.array(e["g"][found]), pa.array(job.links[found]), pa.array(e["g"][job.label[found]])], names=["g", "links", "root"])
+
+    # the pairs, a few numbers each, are dealt evenly
+    return pairs.repartition(max(parts(spark), 4 * spark.sparkContext.defaultParallelism)).mapInArrow(run, "g long, links long, root long")
+
+
+def near_duplicates(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """``id_col, n_links, component_id, kept`` of each row."""
+    spark = vectors.sparkSession
+    prepare(spark)
+    base = pick(vectors, id=id_col, v=vector_col)
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
+    base = base.withColumn("valid", F.coalesce(F.col("id").isNotNull() & finite, F.lit(False))).withColumn("h", F.xxhash64("v"))
+    valid = base.where("valid").select("id", "h", F.col("v").cast("array<double>").alias("v"))
+    # one vector for all equal ones, counted before the shuffle; its number is what stands in the written table
+    groups = valid.groupBy("v").agg(F.min("id").alias("rep"), F.first("h").alias("h"), F.count("*").alias("n"))
+    groups = settle(groups.withColumn("g", F.monotonically_increasing_id()), "vectors")
+    folder = new_path(spark, "starling-chunk-files")
+    found = settle(chunk_links(write_chunks(groups, cosine, folder), cosine, folder), "vector-links", small=True)
+    # which vector a row has: of a vector of its own by id and hash, of an equal one by the vector
+    shared = valid.join(groups.where("n > 1").select("v", "g"), "v").select("id", "h", "g")
+    places = settle(groups.where("n = 1").select(F.col("rep").alias("id"), "h", "g").union(shared).distinct(), "places")
+    again = places.groupBy("id").agg(F.min("g").alias("a"), F.max("g").alias("z")).where("a < z").select("id", "a")  # ids with several vectors
+    same_id = places.join(again, "id").select("a", F.col("g").alias("b"))
+    label = components(found.select(F.col("g").alias("a"), F.col("root").alias("b")).union(same_id))
+    named = label.join(groups.select(F.col("g").alias("node"), "rep"), "node")
+    named = named.join(named.groupBy("component").agg(F.min("rep").alias("component_id")), "component").select(F.col("node").alias("g"), "component_id")
+    sums = found.groupBy("g").agg(F.sum("links").alias("links"))
     # written, so that the join below is a plain one, which Spark can split at a vector that very many rows have
-    linked = settle(sums.join(label, "rep", "left"), "linked")
-    shared = valid.join(groups.where("n > 1"), "v").select("id", "rep", "n").dropDuplicates(["id"])
-    out = base.select("id", "valid").join(shared, "id", "left").select("id", "valid", F.coalesce("rep", "id").alias("rep"), F.coalesce("n", F.lit(1)).alias("n"))
-    out = out.join(linked, "rep", "left")
-    out = out.select("id", F.when(F.col("valid"), F.coalesce("links", F.lit(0)) + F.col("n") - 1).otherwise(0).cast("long").alias("n_links"), F.when(F.col("valid"), F.coalesce("component", "rep")).otherwise(F.col("id")).alias("component_id"))
+    known = settle(places.join(groups.select("g", "rep", "n"), "g").join(named, "g", "left").join(sums, "g", "left").select("id", "h", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component_id", "rep").alias("component_id")), "linked")
+    out = base.select("id", "valid", F.when(F.col("valid"), F.col("h")).alias("h")).join(known, ["id", "h"], "left")
+    out = out.select("id", F.when(F.col("valid"), F.col("links")).otherwise(0).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
