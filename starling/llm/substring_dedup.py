@@ -176,7 +176,7 @@ def hot_minimisers(keyed: DataFrame, window: int) -> set[int]:
         keys = np.array([0, *counts], np.uint64).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array([total, *counts.values()], pa.int64()), pa.array([True] + [False] * len(counts))], names=["key", "n", "whole"])
 
-    found = settle(keyed.select("i", "h", "t").mapInArrow(run, "key long, n long, whole boolean").groupBy("key", "whole").agg(F.sum("n").alias("n")), "minimisers", HOT_SHARE * parts(keyed.sparkSession))
+    found = settle(keyed.select("i", "h", "t").mapInArrow(run, "key long, n long, whole boolean").groupBy("key", "whole").agg(F.sum("n").alias("n")), "minimisers", small=True)
     total = found.where("whole").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     hot = found.where(~F.col("whole") & (F.col("n") > max(HOT_LEAST, total / HOT_SHARE))).select("key").collect()
     return {r[0] & 0xFFFFFFFFFFFFFFFF for r in hot}

@@ -406,6 +406,15 @@ def test_embeddings_by_hand(spark, monkeypatch):
     assert embedding_dedup.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_ids_with_several_vectors(spark):
+    """Each row counts what its own vector links with; the component goes by the id."""
+    x, y, z = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(5, x), (5, y), (1, y), (7, x), (9, x), (8, z), (8, z), (6, [1.0, 0.01, 0.0]), (None, x)]
+    out = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    got = Counter((r.vec_id, r.n_links, r.component_id, r.kept) for r in out)
+    assert got == Counter([(5, 3, 1, False), (5, 1, 1, False), (1, 1, 1, True), (7, 3, 1, False), (9, 3, 1, False), (8, 1, 8, True), (8, 1, 8, True), (6, 3, 1, False), (None, 0, None, True)])
+
+
 def test_some_block_keeps_its_share():
     r = np.random.default_rng(9)
     for dim in (2, 5, 16, 33, 64):
