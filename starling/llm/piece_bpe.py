@@ -16,7 +16,8 @@ Both are per worker and hold nothing that grows with the input.
 
 Defined results: a null text counts as empty; an empty text has no ids and
 decodes to the empty string.  Every row gives one row; repeated rows give equal
-rows.  Whole texts are encoded, whatever their length.
+rows.  Whole texts are encoded, whatever their length.  A model that changes texts
+first, or is not of the merge type with byte pieces, is an error.
 """
 
 from __future__ import annotations
@@ -36,6 +37,59 @@ SPACE = "▁"
 MEMORY = 500_000
 BATCH_CHARS = 4_000_000
 
+#: Field numbers of the model file format, and the values that the coder relies on (fixed values).
+MODEL_TYPE, SPACE_LAST, BYTE_FALLBACK = 3, 24, 35  # of the trainer's part
+CHARS_MAP, ADD_SPACE, TRIM_SPACES, ESCAPE_SPACES = 2, 3, 4, 5  # of the normalizer's part
+PIECE_TYPE = 3  # of a piece
+MERGES = 2
+NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
+
+
+def _fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """Field numbers and values of a protocol buffer message."""
+
+    def varint(at: int) -> tuple[int, int]:
+        value = shift = 0
+        while True:
+            value |= (raw[at] & 127) << shift
+            at, shift = at + 1, shift + 7
+            if raw[at - 1] < 128:
+                return value, at
+
+    at = 0
+    while at < len(raw):
+        key, at = varint(at)
+        if key & 7 == 0:
+            value, at = varint(at)
+        else:
+            n, at = varint(at) if key & 7 == 2 else ({1: 8, 5: 4}[key & 7], at)
+            value, at = raw[at : at + n], at + n
+        yield key >> 3, value
+
+
+def refuse_other_models(model: bytes) -> None:
+    """ValueError if a model is one for which the prefix table would give other ids than the library."""
+    parts: dict[int, dict] = {2: {}, 3: {}, 5: {}}  # trainer, normalizer, denormalizer; later settings replace earlier ones
+    kinds = set()
+    for number, value in _fields(model):
+        if number == 1:
+            kinds.add(dict(_fields(value)).get(PIECE_TYPE, NORMAL))
+        elif number in parts:
+            parts[number].update(_fields(value))
+    trainer, normal, back = parts[2], parts[3], parts[5]
+    wrong = [
+        ("not of the merge type", trainer.get(MODEL_TYPE, 1) != MERGES),
+        ("spaces end words", trainer.get(SPACE_LAST, 0)),
+        ("no byte pieces", not trainer.get(BYTE_FALLBACK, 0)),
+        ("texts are rewritten", normal.get(CHARS_MAP) or back.get(CHARS_MAP)),
+        ("no leading space is added", not normal.get(ADD_SPACE, 1)),
+        ("spaces are trimmed", normal.get(TRIM_SPACES, 1)),
+        ("spaces are not escaped", not normal.get(ESCAPE_SPACES, 1)),
+        ("user-defined or unused pieces", kinds - {NORMAL, UNKNOWN, CONTROL, BYTE}),
+    ]
+    if found := [what for what, bad in wrong if bad]:
+        raise ValueError(f"this model can't be encoded by the prefix table: {', '.join(found)}")
+
 
 class PieceModel:
     """A model file's pieces, and the prefix-table coder over them."""
@@ -45,6 +99,7 @@ class PieceModel:
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
+        refuse_other_models(sp.serialized_model_proto())
         self.memory, self.parts, self.odd, self.tested = memory, {}, set(), 0
         self.pieces: dict[str, int] = {}
         self.score: dict[str, float] = {}

@@ -6,6 +6,7 @@ import os
 import random
 import zipfile
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -458,6 +459,20 @@ def test_rules_by_hand(spark):
 # --- 8 pieces
 
 
+def test_models_that_change_texts_are_refused(tmp_path):
+    model = Path(PIECES).read_bytes()
+    piece_bpe.refuse_other_models(model)
+    part = lambda number, *body: bytes([number << 3 | 2, len(body), *body])  # noqa: E731  a part of the file again: its settings replace the ones before
+    changes = {"no leading space": part(3, 24, 0), "trimmed": part(3, 32, 1), "escaped": part(3, 40, 0), "rewritten": part(3, 18, 1, 65), "merge type": part(2, 24, 1), "user-defined": part(1, 10, 1, 113, 24, 4)}
+    for what, extra in changes.items():
+        with pytest.raises(ValueError, match=what):
+            piece_bpe.refuse_other_models(model + extra)
+    path = tmp_path / "trimmed.model"
+    path.write_bytes(model + changes["trimmed"])
+    with pytest.raises(ValueError, match="trimmed"):
+        piece_bpe.PieceModel(str(path))
+
+
 def test_pieces_equal_the_library(spark, odd_docs, no_docs):
     import sentencepiece
 
