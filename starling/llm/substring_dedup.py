@@ -24,6 +24,10 @@ Bounded memory and skew:
 * Strings for one bucket from one portion are packed into one compressed row;
   there are ``BUCKETS_A_PART`` buckets for each shuffle partition, handled one
   after the other.
+* A bucket combines equal strings as they arrive, so a passage that every
+  portion sends is held once.  Beyond ``BUCKET_BYTES`` of different strings
+  (minimisers just below the share of hot ones) it goes on through a spill file
+  of the task, read in passes of bounded size.
 
 Defined results: null and empty texts have no words.  Documents shorter than a
 window keep everything.  Each row is a document of its own: rows that repeat a
@@ -34,6 +38,7 @@ row.  Null ids are kept.  An empty table gives an empty result.
 from __future__ import annotations
 
 import struct
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,6 +55,7 @@ LONGEST = 64  # windows of a super-k-mer, at most
 PORTION, HASHED = 16 << 20, 1 << 20
 HOT_LEAST, HOT_SHARE = 500, 8192
 BUCKETS_A_PART = 4
+BUCKET_BYTES, HELD, SLOTS = 64 << 20, 200, 4096  # a bucket's strings in memory, with HELD more bytes each; slots of minimisers, which passes over a spill file take
 NO_ID = -(1 << 63)
 
 ENTRY = np.dtype([("key", "<u4"), ("id", "<i8"), ("hash", "<i8"), ("start", "<u4"), ("size", "<u4"), ("windows", "<u2"), ("flags", "u1")])
@@ -251,16 +257,31 @@ class Portion:
 
     @staticmethod
     def pack(bucket: np.ndarray, entries: np.ndarray, texts) -> Iterator[pa.RecordBatch]:
-        zip_ = zstandard.ZstdCompressor(level=5)
         order = np.argsort(bucket, kind="stable")
         begin = np.flatnonzero(np.concatenate([[True], np.diff(bucket[order]) != 0]))
         blobs = []
         for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(order)]):
             rows = order[a:b]
-            blobs.append(struct.pack("<I", b - a) + zip_.compress(entries[rows].tobytes() + (texts(rows) if texts else b"")))
+            blobs.append(_packed(entries[rows], texts(rows) if texts else b""))
         yield pa.RecordBatch.from_arrays([pa.array(bucket[order[begin]]), pa.array(np.full(len(begin), texts is not None)), pa.array(blobs, pa.binary())], names=["bucket", "strings", "blob"])
 
 
+def _packed(entries: np.ndarray, texts: bytes) -> bytes:
+    return struct.pack("<I", len(entries)) + zstandard.ZstdCompressor(level=5).compress(entries.tobytes() + texts)
+
+
+def _unpack(blob: bytes) -> tuple[np.ndarray, list[bytes]]:
+    (n,) = struct.unpack_from("<I", blob)
+    raw = zstandard.ZstdDecompressor().decompress(blob[4:])
+    e = np.frombuffer(raw, ENTRY, n)
+    ends = n * ENTRY.itemsize + np.cumsum(e["size"], dtype=np.int64)
+    return e, [raw[b - size : b] for b, size in zip(ends.tolist(), e["size"].tolist())]
+
+
+def _slot(key: np.ndarray) -> np.ndarray:
+    return (_mix(key.astype(np.uint64)) % np.uint64(SLOTS)).astype(np.int64)
+
+
 def _cuts(s: bytes) -> list[int]:
     """Where the words of a packed string begin, and one more, as if another word followed."""
     a = np.flatnonzero(np.frombuffer(s, np.uint8) == 32) + 1
@@ -268,56 +289,139 @@ def _cuts(s: bytes) -> list[int]:
 
 
 class Bucket:
-    """The strings of one bucket; ``spans`` are what repeats."""
+    """The strings of one bucket, equal ones combined on arrival; ``out`` are stretches known to repeat so far.
 
-    def __init__(self, window: int):
-        self.window = window
-        self.entries: list[np.ndarray] = []
-        self.strings: list[bytes] = []
+    Beyond ``budget`` bytes what is held goes to a spill file of the task; ``spans``
+    then reads it again in passes that hold some of the minimisers each, and for
+    minimisers that exceed the budget by themselves some of the windows each.
+    """
+
+    def __init__(self, window: int, budget: float = BUCKET_BYTES):
+        self.window, self.budget = window, budget
+        self.out: list[np.ndarray] = []
+        self.spill = None
+        self.slot_bytes, self.slot_cut = np.zeros(SLOTS), np.zeros(SLOTS)  # bytes spilled of each slot of minimisers, whole and as windows
+        self.clear()
+
+    def clear(self) -> None:
+        self.rows: dict[bytes, int] = {}
+        self.e = np.empty(64, ENTRY)
+        self.size = 0
 
     def add(self, blob: bytes) -> None:
-        (n,) = struct.unpack_from("<I", blob)
-        raw = zstandard.ZstdDecompressor().decompress(blob[4:])
-        e = np.frombuffer(raw, ENTRY, n)
-        at = n * ENTRY.itemsize
-        for size in e["size"].tolist():
-            self.strings.append(raw[at : at + size])
-            at += size
-        self.entries.append(e)
-
-    def spans(self) -> list[tuple[int, int, int, int]]:
-        if not self.entries:
-            return []
-        e = np.concatenate(self.entries)
+        e, strings = _unpack(blob)
+        self.put(e, strings)
+        if self.size > self.budget:
+            self.write()
+
+    def put(self, e: np.ndarray, strings: list[bytes]) -> None:
+        held = len(self.rows)
+        row = np.array([self.rows.setdefault(s, len(self.rows)) for s in strings], np.int64)
+        new = np.flatnonzero(np.concatenate([[held - 1], np.maximum.accumulate(np.maximum(row, held - 1))[:-1]]) < row)
+        if len(self.rows) > len(self.e):
+            self.e = np.concatenate([self.e[:held], np.empty(2 * len(self.rows) - held, ENTRY)])
+        self.e[held : len(self.rows)] = e[new]
+        self.size += int(e["size"][new].sum()) + HELD * len(new)
+        again = np.ones(len(e), bool)
+        again[new] = False
+        if again.any():
+            first = np.unique(row[again])
+            first = first[self.e["flags"][first] & KNOWN == 0]
+            own = e[again]
+            self.out += [self.whole(self.e[first]), self.whole(own[own["flags"] & KNOWN == 0])]
+            self.e["flags"][first] |= KNOWN
+
+    def whole(self, e: np.ndarray) -> np.ndarray:
+        x = np.empty(len(e), SPAN)
+        x["id"], x["hash"], x["begin"], x["end"] = e["id"], e["hash"], e["start"], e["start"] + e["windows"] + np.uint32(self.window - 1)
+        return x
+
+    def write(self) -> None:
+        """All that is held goes to the spill file, which has no name and ends with the task."""
+        self.spill = self.spill or tempfile.TemporaryFile()
+        strings, e = list(self.rows), self.e[: len(self.rows)]
+        size, n = e["size"].astype(float), e["windows"].astype(float)
+        self.slot_bytes += np.bincount(_slot(e["key"]), size + HELD, SLOTS)
+        self.slot_cut += np.bincount(_slot(e["key"]), n * (size * self.window / (n + self.window - 1) + HELD), SLOTS)
+        for a in range(0, len(e), 1 << 14):
+            blob = _packed(e[a : a + (1 << 14)], b"".join(strings[a : a + (1 << 14)]))
+            self.spill.write(struct.pack("<Q", len(blob)) + blob)
+        self.clear()
+
+    def spilled(self, take: np.ndarray) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+        """What the spill file holds of the slots ``take``."""
+        self.spill.seek(0)
+        while head := self.spill.read(8):
+            e, strings = _unpack(self.spill.read(struct.unpack("<Q", head)[0]))
+            own = np.flatnonzero(take[_slot(e["key"])])
+            yield e[own], [strings[i] for i in own.tolist()]
+
+    def spans(self) -> Iterator[np.ndarray]:
+        if self.spill is None:
+            yield from self.out
+            self.out = []
+            yield self.resolved()
+            return
+        self.write()
+        yield from self.out
+        self.out = []
+        large = self.slot_bytes > self.budget
+        turn = np.cumsum(np.where(large, 0, self.slot_bytes)) // self.budget  # slots of one pass exceed the budget by one slot at most
+        for p in np.unique(turn[~large & (self.slot_bytes > 0)]).tolist():
+            part = Bucket(self.window, float("inf"))
+            for e, strings in self.spilled(~large & (turn == p)):
+                part.put(e, strings)
+            yield from part.spans()
+        for slot in np.flatnonzero(large).tolist():
+            passes = int(self.slot_cut[slot] // self.budget) + 1
+            for p in range(passes):
+                part = Bucket(self.window, float("inf"))
+                for e, strings in self.spilled(np.arange(SLOTS) == slot):
+                    part.put(*self.windows(e, strings, p, passes))
+                    yield from part.out
+                    part.out = []
+        self.spill.close()
+
+    def windows(self, e: np.ndarray, strings: list[bytes], p: int, passes: int) -> tuple[np.ndarray, list[bytes]]:
+        """The strings' windows one by one, as far as they belong to pass ``p``."""
+        of, place, cut = [], [], []
+        for i, (s, n) in enumerate(zip(strings, e["windows"].tolist())):
+            c = _cuts(s)
+            for k in range(n):
+                w = s[c[k] : c[k + self.window] - 1]
+                if xxhash.xxh64_intdigest(w) % passes == p:
+                    of.append(i)
+                    place.append(k)
+                    cut.append(w)
+        one = e[of]
+        one["start"] += np.array(place, np.uint32)
+        one["size"], one["windows"] = [len(w) for w in cut], 1
+        return one, cut
+
+    def resolved(self) -> np.ndarray:
+        """What windows that several strings share cover, of strings that don't repeat as a whole."""
+        e, strings = self.e[: len(self.rows)], list(self.rows)
         order = np.argsort(e["key"], kind="stable")
         key = e["key"][order]
-        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         ends = np.append(begin[1:], len(key))
         alone = (ends - begin == 1) & (e["flags"][order[begin]] & REPEATS == 0)
         ids, hashes, starts, windows, flags = (e[k].tolist() for k in ("id", "hash", "start", "windows", "flags"))
         out: list[tuple[int, int, int, int]] = []
         for a, b in zip(begin[~alone].tolist(), ends[~alone].tolist()):
-            rows: dict[bytes, list[int]] = {}
-            for r in order[a:b].tolist():
-                rows.setdefault(self.strings[r], []).append(r)
-            several = len(rows) > 1 or any(flags[r[0]] & REPEATS for r in rows.values())
-            again = self.counted(rows, windows, flags) if several else {}
-            for s, own in rows.items():
-                whole = len(own) > 1 or flags[own[0]] & KNOWN
-                for r in own:
-                    if flags[r] & KNOWN:
-                        continue
-                    n = windows[r]
-                    for x, y in [(0, n)] if whole else _stretches(again.get(s, [])):
-                        out.append((ids[r], hashes[r], starts[r] + x, starts[r] + y + self.window - 1))
-        return out
-
-    def counted(self, rows: dict[bytes, list[int]], windows: list[int], flags: list[int]) -> dict[bytes, list[int]]:
+            rows = {strings[r]: r for r in order[a:b].tolist()}
+            again = self.counted(rows, windows)
+            for s, r in rows.items():
+                if not flags[r] & KNOWN:
+                    out += [(ids[r], hashes[r], starts[r] + x, starts[r] + y + self.window - 1) for x, y in _stretches(again.get(s, []))]
+        return np.array(out, SPAN)
+
+    def counted(self, rows: dict[bytes, int], windows: list[int]) -> dict[bytes, list[int]]:
         """For each string the places of its windows that occur again, found by sorting all windows."""
         cut: list[tuple[bytes, bytes, int]] = []
-        for s, own in rows.items():
+        for s, r in rows.items():
             c = _cuts(s)
-            cut += [(s[c[k] : c[k + self.window] - 1], s, k) for k in range(windows[own[0]])]
+            cut += [(s[c[k] : c[k + self.window] - 1], s, k) for k in range(windows[r])]
         order = sorted(range(len(cut)), key=lambda i: cut[i][0])
         again: dict[bytes, list[int]] = {}
         for a, b in zip(order, order[1:]):
@@ -358,13 +462,18 @@ def repeated_spans(keyed: DataFrame, window: int) -> DataFrame:
             for n, strings, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
                 blob = blob.as_buffer().to_pybytes()
                 if n != number:
-                    yield from _span_rows(np.array(bucket.spans(), SPAN))
+                    for x in bucket.spans():
+                        yield from _span_rows(x)
                     bucket, number = Bucket(window), n
                 if strings:
                     bucket.add(blob)
+                    if len(bucket.out) >= 64:
+                        yield from _span_rows(np.concatenate(bucket.out))
+                        bucket.out = []
                 else:
                     yield from _span_rows(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[4:]), SPAN))
-        yield from _span_rows(np.array(bucket.spans(), SPAN))
+        for x in bucket.spans():
+            yield from _span_rows(x)
 
     sent = keyed.select("i", "h", "t").mapInArrow(split, "bucket int, strings boolean, blob binary")
     sent = sent.repartition(parts(spark), "bucket").sortWithinPartitions("bucket")

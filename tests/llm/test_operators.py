@@ -10,6 +10,7 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+import zstandard
 
 from starling.llm import components, embedding_dedup, entry_queries, language_id, minhash_forest, packing, piece_bpe, quality_classifier, quality_rules, substring_dedup, url_filters, warc_zip
 
@@ -57,6 +58,55 @@ def _rows(docs):
     return [(r[0], r[1]) for r in docs.collect()]
 
 
+def _blobs(texts: list[str], window: int, portion: int) -> list[bytes]:
+    """The strings of one bucket as ``portion`` texts each send them."""
+    out = []
+    for k in range(0, len(texts), portion):
+        p = substring_dedup.Portion(window, 1, set())
+        p.add(substring_dedup.Texts([(k + i, 0, t.encode().split()) for i, t in enumerate(texts[k : k + portion])], window))
+        for b in p.rows():
+            out += [(strings, blob) for strings, blob in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+    return out
+
+
+def _covered(blobs: list, window: int, budget: float) -> set[tuple[int, int]]:
+    """Words (document, place) that what repeats covers."""
+    bucket, spans = substring_dedup.Bucket(window, budget), []
+    for strings, blob in blobs:
+        if strings:
+            bucket.add(blob)
+        else:
+            spans.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[4:]), substring_dedup.SPAN))
+    spans += list(bucket.spans())
+    return {(i, w) for x in spans for i, a, b in zip(x["id"].tolist(), x["begin"].tolist(), x["end"].tolist()) for w in range(a, b)}
+
+
+@pytest.mark.parametrize("words", [3, 40, 2000])  # few words: one minimiser has nearly all strings
+def test_buckets_beyond_their_memory_give_the_same(words):
+    rng, window = np.random.default_rng(words), 6
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, words, 60)) for _ in range(40)]
+    texts += [texts[0], " ".join(texts[1].split()[10:30] + texts[2].split()[5:40]), " ".join(["same"] * 80)]
+    where = {}
+    for i, t in enumerate(texts):
+        t = t.split()
+        for k in range(len(t) - window + 1):
+            where.setdefault(tuple(t[k : k + window]), []).append((i, k))
+    want = {(i, k + j) for places in where.values() if len(places) > 1 for i, k in places for j in range(window)}
+    blobs = _blobs(texts, window, 5)
+    for budget in (float("inf"), 20000, 3000, 300):
+        assert _covered(blobs, window, budget) == want, budget
+
+
+def test_a_bucket_holds_a_passage_once():
+    passage = " ".join(f"w{k}" for k in range(50))
+    blobs = _blobs([passage] * 300, 35, 1)
+    bucket = substring_dedup.Bucket(35)
+    for _, blob in blobs:
+        bucket.add(blob)
+    assert len(bucket.rows) == len(substring_dedup._unpack(blobs[0][1])[1])
+    assert _covered(blobs, 35, float("inf")) == {(i, w) for i in range(300) for w in range(50)}
+
+
 def test_substrings_carry_columns_and_layout(odd_docs, no_docs):
     out = substring_dedup.remove_repeats(odd_docs, others=("lang", "n_chars"), keep_layout=True)
     assert {r.doc_id: r.kept for r in out.collect()}[4] == " \n\t " and out.columns[-2:] == ["lang", "n_chars"]
