@@ -674,6 +674,17 @@ def test_large_group_of_near_copies(spark, monkeypatch):
     assert all(out[k] == 0 for k in range(400)) and all(out[1000 + k] == 1000 + k for k in range(200))
 
 
+def test_a_crowd_lists_few_candidates(spark):
+    """Pairs of a crowd are left to the pass that compares all of them: its members are candidates of the smallest ids of regions."""
+    common = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join([*common, *(f"x{i}-{j}" for j in range(20))]).encode()) for i in range(300)]
+    sketches = minhash_forest.sketches(spark.createDataFrame(rows, "id long, t binary"), 2)
+    reps = sketches.selectExpr("id AS rep", "n", "sig")
+    pairs, crowd = minhash_forest.candidates(reps, 80)
+    assert pairs.count() < 20 * 300  # by neighbours, too: more than 30 * 300
+    assert crowd.selectExpr("a AS x").union(crowd.select("b")).distinct().count() == 300
+
+
 def test_links_inside_a_crowd(spark):
     """One template with fills of their own: any two are at 199/253, pairs that share three words of fill at 202/250."""
     template = " ".join(f"t{k}" for k in range(200))
