@@ -54,6 +54,10 @@ def coded(spark: SparkSession, d: str) -> DataFrame:
     return _once(spark, (d, "coded"), lambda: written(prep.encode_labels(masked(spark, d), classes(spark, d)), "coded"))
 
 
+def particles(spark: SparkSession, d: str) -> DataFrame:
+    return _once(spark, (d, "particles"), lambda: written(state.particles_init(coded(spark, d)), "particles"))
+
+
 def state_after(spark: SparkSession, d: str, steps: int) -> state.State:
     def make():
         if steps == 0:
@@ -161,8 +165,8 @@ def q14(spark, d):
 
 
 def q15(spark, d):
-    s = state_after(spark, d, 0)
-    return s.dist.select("pid", "node_id", "d", F.lit(s.far).alias("far"))
+    far = min(coded(spark, d).count() - 1, state.FAR)
+    return state.dist_init(particles(spark, d)).select("pid", "node_id", "d", F.lit(far).alias("far"))
 
 
 def q16(spark, d):
@@ -171,8 +175,7 @@ def q16(spark, d):
 
 
 def q17(spark, d):
-    s = state_after(spark, d, 0)
-    most = state.stop_threshold(s.n, s.particles.count(), K)
+    most = state.stop_threshold(coded(spark, d).count(), particles(spark, d).count(), K)
     return spark.range(1).select(F.lit(most).cast("long").alias("stop_max"))
 
 

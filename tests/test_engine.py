@@ -291,6 +291,13 @@ def test_sieve_of_tiny_and_huge_vectors(metric, p, scale):
     assert set(zip(*(x.tolist() for x in np.nonzero(d <= limit[:, None])))) <= set(zip(i.tolist(), j.tolist()))
 
 
+def test_stop_threshold_and_first_distances_need_no_graph(spark, monkeypatch):
+    monkeypatch.setattr(queries, "_kept", {})
+    monkeypatch.setattr(graph, "knn_graph", lambda *a: pytest.fail("a graph was built"))
+    assert queries.q17(spark, "/root/testdata/sf0.001").count() == 1
+    assert queries.q15(spark, "/root/testdata/sf0.001").count() == 50
+
+
 @pytest.mark.parametrize("metric, p", [("minkowski", 2), ("minkowski", 3), ("chebyshev", 2), ("manhattan", 2)])
 def test_neighbours_of_copies_and_odd_vectors(spark, metric, p):
     """Many copies of few vectors, ties, and vectors without a finite distance, against the plain rule."""
