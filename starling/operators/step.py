@@ -12,6 +12,7 @@ held per row; it is bounded by the particles at a node and by the degree.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -126,11 +127,14 @@ def shock_move(s: State, moved: DataFrame) -> DataFrame:
     return s.particles.join(m, "pid", "left").select("pid", "home", F.coalesce("at", "cur").alias("cur"), "cls", F.coalesce("new", "strength").alias("strength"))
 
 
-def superstep(s: State, params: Params, it: int) -> State:
-    """The state after step ``it``; still lazy, see ``plans.estimator`` for runs of steps."""
-    moves = targets(s, params, it)
+def superstep(s: State, params: Params, it: int, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> State:
+    """The state after step ``it``; still lazy, see ``plans.estimator`` for runs of steps.
+
+    ``keep`` may write what more than one of its tables comes from (one row a particle), so that each move is worked out once.
+    """
+    moves = keep(targets(s, params, it), "moves")
     nodes = dominance_update(s, moves, params)
-    moved = strength_update(moves, nodes, params)
+    moved = keep(strength_update(moves, nodes, params), "moved")
     return State(s.adjacency, shock_move(s, moved), owndeg_accumulate(nodes, moved), distance_relax(s, moves), s.n, s.c)
 
 

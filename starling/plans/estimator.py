@@ -86,7 +86,7 @@ class GraphLabeler:
         s = state.initial_state(written(graph.neighbor_lists(self.edges), "adjacency"), coded, c, n)
         s, it, best, idle = s.mapped(written), -1, 0.0, 0
         for it in range(max_iter):
-            s = step.superstep(s, params, it).mapped(written)  # each step's tables end the lineage
+            s = step.superstep(s, params, it, written).mapped(written)  # each step's tables end the lineage
             if early_stop and it % CHECK_EVERY == 0:
                 potential = step.mean_max_potential(s.nodes).first()[0]
                 best, idle = (potential, 0) if potential > best else (best, idle + 1)

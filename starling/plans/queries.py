@@ -64,7 +64,7 @@ def state_after(spark: SparkSession, d: str, steps: int) -> state.State:
             adjacency = written(graph.neighbor_lists(edges(spark, d)), "adjacency")
             s = state.initial_state(adjacency, coded(spark, d), classes(spark, d).count())
         else:
-            s = step.superstep(state_after(spark, d, steps - 1), step.Params(), steps - 1)
+            s = step.superstep(state_after(spark, d, steps - 1), step.Params(), steps - 1, written)
         return s.mapped(written)
 
     return _once(spark, (d, "state", steps), make)

@@ -291,6 +291,24 @@ def test_sieve_of_tiny_and_huge_vectors(metric, p, scale):
     assert set(zip(*(x.tolist() for x in np.nonzero(d <= limit[:, None])))) <= set(zip(i.tolist(), j.tolist()))
 
 
+def test_step_works_moves_out_once(spark):
+    """What a step writes on its way changes nothing, and its tables come from what was written."""
+    edges = frame(spark, [(0, 1), (1, 2), (2, 3), (3, 4), (4, 0), (1, 3)])
+    coded = spark.createDataFrame([(0, 0), (1, -1), (2, -1), (3, 1), (4, -1)], "node_id long, cls int")
+    s = state.initial_state(graph.neighbor_lists(graph.edge_graph(edges)), coded, 2).mapped(lambda df, name: df.localCheckpoint())
+    kept = []
+
+    def keep(df, name):
+        kept.append(name)
+        return spark.createDataFrame(df.collect(), df.schema)
+
+    plain, once = step.superstep(s, step.Params(), 0), step.superstep(s, step.Params(), 0, keep)
+    assert kept == ["moves", "moved"]
+    for name in ("particles", "nodes", "dist"):
+        assert sorted(getattr(plain, name).collect()) == sorted(getattr(once, name).collect())
+    assert "neighbors" not in once.particles._jdf.queryExecution().optimizedPlan().toString()  # no move is drawn again
+
+
 def test_stop_threshold_and_first_distances_need_no_graph(spark, monkeypatch):
     monkeypatch.setattr(queries, "_kept", {})
     monkeypatch.setattr(graph, "knn_graph", lambda *a: pytest.fail("a graph was built"))
