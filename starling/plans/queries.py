@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,8 +41,16 @@ def truth(spark: SparkSession, d: str) -> DataFrame:
     return tables.labels(table(spark, d, "embeddings"), "vec_id", "label")
 
 
+def near(spark: SparkSession, d: str) -> DataFrame:
+    return _once(spark, (d, "near"), lambda: graph.knn(vectors(spark, d), K))
+
+
 def edges(spark: SparkSession, d: str) -> DataFrame:
-    return _once(spark, (d, "edges"), lambda: written(graph.knn_graph(vectors(spark, d), K), "edges"))
+    return _once(spark, (d, "edges"), lambda: written(graph.both_ways(near(spark, d)).distinct(), "edges"))
+
+
+def adjacency(spark: SparkSession, d: str) -> DataFrame:
+    return _once(spark, (d, "adjacency"), lambda: written(graph.neighbor_lists(graph.both_ways(near(spark, d))), "adjacency"))
 
 
 def masked(spark: SparkSession, d: str) -> DataFrame:
@@ -61,11 +72,11 @@ def particles(spark: SparkSession, d: str) -> DataFrame:
 def state_after(spark: SparkSession, d: str, steps: int) -> state.State:
     def make():
         if steps == 0:
-            adjacency = written(graph.neighbor_lists(edges(spark, d)), "adjacency")
-            s = state.initial_state(adjacency, coded(spark, d), classes(spark, d).count())
-        else:
-            s = step.superstep(state_after(spark, d, steps - 1), step.Params(), steps - 1, written)
-        return s.mapped(written)
+            with ThreadPoolExecutor(1) as aside:  # labels are made ready while the graph is built
+                lists = aside.submit(adjacency, spark, d)
+                s = state.initial_state(None, coded(spark, d), classes(spark, d).count()).mapped(written)
+                return replace(s, adjacency=lists.result())
+        return step.superstep(state_after(spark, d, steps - 1), step.Params(), steps - 1, written).mapped(written)
 
     return _once(spark, (d, "state", steps), make)
 

@@ -1,6 +1,7 @@
 """Hand-worked graphs, invariants and error paths of the engine."""
 
 import random
+import threading
 
 import numpy as np
 import pytest
@@ -316,6 +317,43 @@ def test_stop_threshold_and_first_distances_need_no_graph(spark, monkeypatch):
     assert queries.q15(spark, "/root/testdata/sf0.001").count() == 50
 
 
+def test_labels_are_made_ready_while_the_graph_is_built(spark, monkeypatch):
+    monkeypatch.setattr(queries, "_kept", {})
+    ready, knn, first = threading.Event(), graph.knn, state.initial_state
+    seen = []
+    monkeypatch.setattr(graph, "knn", lambda *a: seen.append(ready.wait(60)) or knn(*a))
+    monkeypatch.setattr(state, "initial_state", lambda *a: ready.set() or first(*a))
+    s = queries.state_after(spark, "/root/testdata/sf0.001", 0)
+    assert seen == [True] and s.adjacency.count() == s.nodes.count() == 500
+
+
+def test_different_vectors_need_no_ranking_after_the_search(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 6))
+    near = graph.knn(tables.matrix(spark, x), 5, block=20)
+    assert "Window" not in near._jdf.queryExecution().optimizedPlan().toString()
+    d = graph.distances(x, x, "minkowski", 2)
+    d[range(300), range(300)] = np.inf
+    want = [(i, int(j), r + 1) for i in range(300) for r, j in enumerate(np.argsort(d[i])[:5])]
+    assert sorted((r.src, r.dst, r["rank"]) for r in near.collect()) == sorted(want)
+    lists = {r.node_id: r.neighbors for r in graph.neighbor_lists(graph.both_ways(near)).collect()}
+    assert lists == {i: sorted({j for a, j, _ in want if a == i} | {a for a, j, _ in want if j == i}) for i in range(300)}
+
+
+def test_what_is_found_is_sorted_when_it_is_worth_it(monkeypatch):
+    rng = np.random.default_rng(3)
+    x, ids, merges, merge = rng.normal(size=(4000, 8)), np.arange(4000), [], graph.Nearest._merge
+    monkeypatch.setattr(graph.Nearest, "_merge", lambda self, *a: merges.append(1) or merge(self, *a))
+    best = graph.Nearest(ids[:100], x[:100], 6, "minkowski", 2)
+    for k in range(0, 4000, 50):
+        best.add(ids[k : k + 50], x[k : k + 50])
+    rows = best.rows()
+    assert len(merges) < 40
+    d = graph.distances(x[:100], x, "minkowski", 2)
+    assert rows.column("near").to_pylist() == np.argsort(d, axis=1)[:, :6].ravel().tolist()
+    assert rows.column("rank").to_pylist()[:6] == [0, 1, 2, 3, 4, 5]
+
+
 @pytest.mark.parametrize("metric, p", [("minkowski", 2), ("minkowski", 3), ("chebyshev", 2), ("manhattan", 2)])
 def test_neighbours_of_copies_and_odd_vectors(spark, metric, p):
     """Many copies of few vectors, ties, and vectors without a finite distance, against the plain rule."""
