@@ -46,10 +46,14 @@ SHARD_TOKENS, SHARD_DOCS = 2 << 20, 60_000
 RARE, KEY = 16, 4  # of so many largest ids so many least hashes
 K1, B = 1.2, 0.75
 NEIGHBOURS = 16  # so many of a ranking are sorted at a time
+GRID = float(1 << 24)  # scores are multiples of its inverse, so their sums are exact and the same in any order
+TABLE = 1 << 22  # pairs of documents of a shard whose scores for frequent terms are worked out at once
 
 #: Characters whose classes all regular-expression engines agree on.
 _PLAIN_BYTES = bytes([9, 10, 13, *range(0x20, 0x7F)])
 _UNSURE = re.compile("[^¡-ɏ]")
+_AHEAD = r"\s+(?!\S)|"
+_BLANKS = bytes.maketrans(b"\t\n\r", b"   ")  # all blanks of plain texts
 
 
 class Ids:
@@ -58,7 +62,8 @@ class Ids:
     Texts of plain characters go through ``tiktoken`` with the same vocabulary,
     which is several times faster and gives the same ids; texts with one of the
     file's added tokens, or with characters outside plain Latin, go through
-    ``tokenizers`` itself.
+    ``tokenizers`` itself.  The pattern's look-ahead only says where a run of two or more blanks
+    is cut, and makes matching slow, so texts without such a run are matched without it.
     """
 
     def __init__(self, path: str):
@@ -68,7 +73,7 @@ class Ids:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.added = [x["content"] for x in spec.get("added_tokens", [])]
-        self.fast = None
+        self.fast = self.single = None
         pre = spec.get("pre_tokenizer") or {}
         if spec["model"]["type"] == "BPE" and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not spec.get("normalizer"):
             import public_tokenizers
@@ -78,6 +83,7 @@ class Ids:
             ranks = {bytes(byte[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in self.added}
             if sorted(ranks.values()) == list(range(len(ranks))):
                 self.fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+                self.single = tiktoken.Encoding("single", pat_str=public_tokenizers.PATTERN.replace(_AHEAD, ""), mergeable_ranks=ranks, special_tokens={})
 
     def plain(self, raw: bytes, text: str) -> bool:
         rest = raw.translate(None, _PLAIN_BYTES)
@@ -86,7 +92,8 @@ class Ids:
     def __call__(self, raw: bytes) -> np.ndarray:
         text = raw.decode("utf-8", "replace")
         if self.fast is not None and self.plain(raw, text):
-            return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint32)
+            fast = self.fast if b"  " in raw.translate(_BLANKS) else self.single
+            return fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint32)
         return np.array(self.exact.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
 
 
@@ -134,17 +141,26 @@ class Bm25:
         corpus = corpus or Corpus(n, int(sizes.sum()), df)
         self.idf = np.where(df > 1, corpus.idf[:terms], 0).astype(np.float32)  # a term of one document of the shard finds no other
         norm = K1 * (1 - B + B * sizes / corpus.mean)
-        score = self.idf[term] * tf * (K1 + 1) / (tf + norm[doc].astype(np.float32))
+        score = np.rint((self.idf[term] * tf * (K1 + 1) / (tf + norm[doc].astype(np.float32))).astype(np.float64) * GRID) / GRID
         self.doc_begin = np.searchsorted(doc, np.arange(n + 1))
         self.term = term
         order = np.argsort(term.astype(np.uint16) if terms <= 1 << 16 else term, kind="stable")
-        self.posting, self.score = doc[order].astype(np.intp), score[order].astype(np.float64)
+        self.posting, self.score = doc[order].astype(np.intp), score[order]
         self.begin = np.concatenate([[0], np.cumsum(df)])
         # terms of many documents as whole rows: adding a row is faster than adding its postings
         self.rows = {}
         for t in np.flatnonzero(df > n / 8).tolist():
             row = self.rows[t] = np.zeros(n)
             row[self.posting[self.begin[t] : self.begin[t + 1]]] = self.score[self.begin[t] : self.begin[t + 1]]
+        self.rare = self.idf > 0
+        self.rare[list(self.rows)] = False
+        # and the sums of these rows for all seeds at once, one matrix product, where they are not too many
+        self.frequent = None
+        if self.rows and n * n <= TABLE:
+            has = np.zeros((n, len(self.rows)))
+            for i, t in enumerate(self.rows):
+                has[self.posting[self.begin[t] : self.begin[t + 1]], i] = 1
+            self.frequent = has @ np.stack([*self.rows.values()])
 
     def neighbours(self, seed: int, used: np.ndarray) -> list[int]:
         return list(self.ranked(seed, used))
@@ -152,14 +168,16 @@ class Bm25:
     def ranked(self, seed: int, used: np.ndarray) -> Iterator[int]:
         """Unused documents by falling score for all of the seed's terms; of equal scores the earlier document first."""
         own = self.term[self.doc_begin[seed] : self.doc_begin[seed + 1]]
-        own = own[self.idf[own] > 0].tolist()
-        spans = [slice(self.begin[t], self.begin[t + 1]) for t in own if t not in self.rows]
+        spans = [slice(self.begin[t], self.begin[t + 1]) for t in own[self.rare[own]].tolist()]
         found = np.zeros(self.n)
         if spans:
             found = np.bincount(np.concatenate([self.posting[x] for x in spans]), weights=np.concatenate([self.score[x] for x in spans]), minlength=self.n)
-        for t in own:
-            if t in self.rows:
-                found += self.rows[t]
+        if self.frequent is not None:
+            found = found + self.frequent[seed]
+        else:
+            for t in own.tolist():
+                if t in self.rows:
+                    found += self.rows[t]
         found[used] = 0
         left, k = np.flatnonzero(found > 0), NEIGHBOURS
         while len(left):

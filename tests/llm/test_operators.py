@@ -283,6 +283,30 @@ def test_fast_ids_equal_the_library():
         assert ours(s.encode()).tolist() == exact.encode(s, add_special_tokens=False).ids
 
 
+def test_texts_without_runs_of_blanks_need_no_look_ahead():
+    from tokenizers import Tokenizer
+
+    exact, ours, r = Tokenizer.from_file(str(BYTES)), packing.tokenizer(str(BYTES)), random.Random(4)
+    assert "(?!" not in ours.single._pat_str and "(?!" in ours.fast._pat_str
+    for _ in range(600):
+        text = "".join(r.choice(["we", "'s", "'ll", " ", "\n", "\t", "\r", "9", "é", "--", " a", "A's "]) for _ in range(30))
+        for t in (text, " ".join(text.split()), " " + "\n".join(text.split()) + "\t"):
+            assert ours(t.encode()).tolist() == exact.encode(t, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("factor", [1, 500])
+def test_sums_of_scores_are_exact_in_any_order(monkeypatch, factor):
+    rng = np.random.default_rng(8)
+    docs = [(rng.zipf(1.3, rng.integers(1, 80)) % 400 * factor).astype(np.uint32) for _ in range(150)]
+    at_once, used = packing.Bm25(docs), np.zeros(150, bool)
+    assert at_once.rows and at_once.frequent is not None and np.array_equal(at_once.score * packing.GRID, np.rint(at_once.score * packing.GRID))
+    windows = packing.fill_windows(docs, 100)
+    monkeypatch.setattr(packing, "TABLE", 0)
+    one_by_one = packing.Bm25(docs)
+    assert one_by_one.frequent is None and packing.fill_windows(docs, 100) == windows
+    assert all(at_once.neighbours(i, used) == one_by_one.neighbours(i, used) for i in range(150))
+
+
 # --- 4 packages
 
 PAGE = "page_id long, url string, html string, payload string, digest int, first string"
