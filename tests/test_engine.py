@@ -112,6 +112,18 @@ def test_sequential_equals_plain_rules(spark, seed):
     assert hard == np.where(cls == -1, want.argmax(1), cls).tolist()
 
 
+def test_many_walkers_equal_plain_rules(spark):
+    """More walkers than are looked at together, isolated ones among them, each with more distances than its first table takes."""
+    r = random.Random(11)
+    n, c = 260, 3
+    pairs = [(r.randrange(n - 10), r.randrange(n - 10)) for _ in range(900)]
+    cls = np.array([i % c if i % 3 == 0 or i >= n - 5 else -1 for i in range(n)])
+    _, dom, own = fit(spark, n, pairs, cls, c, "sequential", 150)
+    want, visits = plain_sequential(n, pairs, cls, c, 150)
+    total = np.cumsum(visits, axis=1)[:, -1:]
+    assert np.array_equal(dom, want) and np.array_equal(own, visits / np.where(total == 0, 1, total))
+
+
 @pytest.mark.parametrize("deltap", [1.0, 0.5])
 def test_batch_equals_the_steps_of_the_plan(spark, deltap):
     """The kernel and the DataFrame operators: the same bits, isolated nodes and labelled neighbours included."""
