@@ -26,16 +26,12 @@ WORD = 0xFFFFFFFF
 PURPOSES = {"mode": 0, "pick": 1, "walk": 2}
 
 
-def uniform(*parts: Column) -> Column:
-    """A number in [0, 1) that integers decide: each in its turn is mixed into a 32-bit word."""
-
-    def mixed(h: Column, v: Column) -> Column:
-        x = (h.bitwiseXOR(v.bitwiseAND(F.lit(WORD))) * F.lit(MIX[0])).bitwiseAND(F.lit(WORD))
-        x = (x.bitwiseXOR(F.shiftright(x, 15)) * F.lit(MIX[1])).bitwiseAND(F.lit(WORD))
-        return x.bitwiseXOR(F.shiftright(x, 13))
-
-    word = F.aggregate(F.array(*[p.cast("long") for p in parts]), F.lit(0).cast("long"), mixed)
-    return word.cast("double") / F.lit(4294967296.0)
+def uniform(*parts: str) -> Column:
+    """A number in [0, 1) that integers decide: each in its turn is mixed into a 32-bit word.  Parts are SQL, as plans of many calls take long to put together."""
+    x = f"(((h ^ (v & {WORD}L)) * {MIX[0]}L) & {WORD}L)"
+    y = f"((({x} ^ shiftright({x}, 15)) * {MIX[1]}L) & {WORD}L)"
+    words = ", ".join(f"CAST({p} AS BIGINT)" for p in parts)
+    return F.expr(f"CAST(aggregate(array({words}), 0L, (h, v) -> {y} ^ shiftright({y}, 13)) AS DOUBLE) / 4294967296D")
 
 
 def uniform_sql(*parts: str) -> str:

@@ -33,7 +33,7 @@ class Params:
 
 
 def draw(params: Params, it: int, purpose: str) -> Column:
-    return uniform(F.lit(params.seed), F.lit(it), F.col("pid"), F.lit(PURPOSES[purpose]))
+    return uniform(str(params.seed), str(it), "pid", str(PURPOSES[purpose]))
 
 
 def mode_draw(s: State, params: Params, it: int) -> DataFrame:
@@ -45,7 +45,7 @@ def mode_draw(s: State, params: Params, it: int) -> DataFrame:
 
 def greedy_weights(s: State, params: Params, it: int) -> DataFrame:
     """``pid, pos, nb, w``: dominance of the particle's class at each neighbour times the weight of its distance."""
-    lut = F.array(*[F.lit(x) for x in distance_weights(params.dexp)])
+    lut = F.expr(f"array({', '.join(f'{x!r}D' for x in distance_weights(params.dexp))})")  # one call for all literals
     near = mode_draw(s, params, it).where("greedy").select("pid", "cls", F.posexplode("neighbors").alias("pos", "nb"))
     near = near.join(s.nodes.select(F.col("node_id").alias("nb"), "dom"), "nb")
     near = near.join(s.dist.withColumnRenamed("node_id", "nb"), ["pid", "nb"], "left")

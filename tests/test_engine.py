@@ -384,6 +384,14 @@ def test_order_of_what_is_found(ties):
     assert graph.Nearest._sorted(row, dist, dst).tolist() == np.lexsort((dst, dist, row)).tolist()
 
 
+def test_plan_of_a_step_takes_few_calls(spark, monkeypatch):
+    s = queries.star(spark, "/root/testdata/sf0.001")
+    calls, lit = [], step.F.lit
+    monkeypatch.setattr(step.F, "lit", lambda x: calls.append(x) or lit(x))
+    step.targets(s, step.Params(), 0)
+    assert len(calls) < 20
+
+
 def test_what_is_found_is_sorted_when_it_is_worth_it(monkeypatch):
     rng = np.random.default_rng(3)
     x, ids, merges, merge = rng.normal(size=(4000, 8)), np.arange(4000), [], graph.Nearest._merge
