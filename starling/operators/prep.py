@@ -40,46 +40,39 @@ def decode_labels(coded: DataFrame, classes: DataFrame) -> DataFrame:
     return coded.join(back, "cls", "left").select("node_id", F.coalesce("label", F.lit(UNLABELLED)).alias("label"))
 
 
-def smallest_keys(df: DataFrame, group: str, key: str, quota: DataFrame) -> DataFrame:
-    """In each group the ``quota`` rows with the smallest hexadecimal keys (``quota``: group, ``take``).
+def _masked(rows: DataFrame, group: str, quota: DataFrame) -> DataFrame:
+    """``rows`` (``node_id, label, h`` and the group); in each group the ``take`` rows of ``quota`` with the smallest keys ``h`` keep their labels, the rest become -1.
 
-    Keys are counted by their first four digits (65,536 counts a group at most); whole
-    buckets below the cut are taken as they are, and only the bucket with the cut is
-    sorted.  So no task ever holds a group.
+    Keys are hexadecimal and counted by their first four digits (65,536 counts a group at most); only the bucket
+    with the cut is sorted, for the largest key that is kept.  So no task ever holds a group, and rows are compared with that key where they are.
     """
-    bucketed = df.withColumn("_b", F.substring(key, 1, 4))
+    bucketed = rows.withColumn("_b", F.substring("h", 1, 4))
     counts = bucketed.groupBy(group, "_b").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy(group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
     cuts = counts.withColumn("_before", F.coalesce(before, F.lit(0))).join(quota, group)
-    cuts = cuts.where(F.col("_before") < F.col("take")).select(group, "_b", (F.col("take") - F.col("_before")).alias("_left"), "_n")
-    rows = bucketed.join(cuts, [group, "_b"])
-    whole = rows.where("_n <= _left")
-    cut = rows.where("_n > _left").withColumn("_k", F.row_number().over(Window.partitionBy(group, "_b").orderBy(key))).where("_k <= _left")
-    return whole.select(*df.columns).union(cut.select(*df.columns))
-
-
-def _masked(labels: DataFrame, chosen: DataFrame) -> DataFrame:
-    kept = chosen.select("node_id", F.lit(True).alias("_seed"))
-    return labels.join(kept, "node_id", "left").select("node_id", F.when(F.col("_seed"), F.col("label")).otherwise(F.lit(UNLABELLED)).alias("label"))
+    cuts = cuts.where((F.col("_before") < F.col("take")) & (F.col("take") <= F.col("_before") + F.col("_n")))
+    cut = bucketed.join(cuts.select(group, "_b", (F.col("take") - F.col("_before")).alias("_left")), [group, "_b"])
+    cut = cut.withColumn("_k", F.row_number().over(Window.partitionBy(group, "_b").orderBy("h"))).where("_k = _left").select(group, F.col("h").alias("_last"))
+    kept = F.when(F.col("h") <= F.col("_last"), F.col("label")).otherwise(F.lit(UNLABELLED))
+    return rows.join(cut, group, "left").select(*([group] if group == "run" else []), "node_id", kept.alias("label"))
 
 
 def seed_mask_global(labels: DataFrame, fraction: float, seed: int) -> DataFrame:
     """floor(n * fraction) nodes, drawn by a hash of (seed, node), keep their labels; the rest become -1."""
     rows = labels.select("node_id", "label", F.lit(0).alias("g"), hash_key(F.lit(seed), F.col("node_id")).alias("h"))
     quota = labels.agg(F.floor(F.count("*") * F.lit(float(fraction))).alias("take")).select(F.lit(0).alias("g"), "take")
-    return _masked(labels, smallest_keys(rows, "g", "h", quota))
+    return _masked(rows, "g", quota)
 
 
 def seed_masks_global(labels: DataFrame, fraction: float, runs: int) -> DataFrame:
     """``run, node_id, label``: the global masks of the seeds 0 to ``runs`` - 1, in one plan."""
     each = labels.select("node_id", "label", F.explode(F.sequence(F.lit(0), F.lit(runs - 1))).alias("run"))
     quota = each.groupBy("run").agg(F.floor(F.count("*") * F.lit(float(fraction))).alias("take"))
-    chosen = smallest_keys(each.withColumn("h", hash_key(F.col("run"), F.col("node_id"))), "run", "h", quota).select("run", "node_id", F.lit(True).alias("_seed"))
-    return each.join(chosen, ["run", "node_id"], "left").select("run", "node_id", F.when(F.col("_seed"), F.col("label")).otherwise(F.lit(UNLABELLED)).alias("label"))
+    return _masked(each.withColumn("h", hash_key(F.col("run"), F.col("node_id"))), "run", quota)
 
 
 def seed_mask_stratified(labels: DataFrame, fraction: float, seed: int) -> DataFrame:
     """round-half-even(fraction * size) nodes of each class keep their labels; the rest become -1."""
-    rows = labels.select("node_id", "label", hash_key(F.lit(seed), F.col("node_id")).alias("h"))
-    quota = labels.groupBy("label").agg(F.bround(F.count("*") * F.lit(float(fraction))).cast("long").alias("take"))
-    return _masked(labels, smallest_keys(rows, "label", "h", quota))
+    rows = labels.select("node_id", "label", F.col("label").alias("g"), hash_key(F.lit(seed), F.col("node_id")).alias("h"))
+    quota = labels.groupBy(F.col("label").alias("g")).agg(F.bround(F.count("*") * F.lit(float(fraction))).cast("long").alias("take"))
+    return _masked(rows, "g", quota)

@@ -392,6 +392,18 @@ def test_plan_of_a_step_takes_few_calls(spark, monkeypatch):
     assert len(calls) < 20
 
 
+def test_seed_masks_compare_rows_where_they_are(spark):
+    """One cut for each class, no way back by node; quotas of nothing and of a whole class."""
+    lab = spark.createDataFrame([(i, i % 3) for i in range(90)] + [(100, 5), (101, None)], "node_id long, label long")
+    plan = prep.seed_mask_stratified(lab, 0.1, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan
+    for fraction, kept in ((0.1, 9), (1.0, 91), (0.0, 0)):
+        rows = prep.seed_mask_stratified(lab, fraction, 1).collect()
+        assert len(rows) == 92 and sum(r.label != -1 for r in rows) == kept
+    rows = prep.seed_masks_global(lab.where("label is not null"), 0.5, 2).collect()
+    assert [sum(r.run == k and r.label != -1 for r in rows) for k in (0, 1)] == [45, 45]
+
+
 def test_what_is_found_is_sorted_when_it_is_worth_it(monkeypatch):
     rng = np.random.default_rng(3)
     x, ids, merges, merge = rng.normal(size=(4000, 8)), np.arange(4000), [], graph.Nearest._merge
